@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe
+from sampleweave.llm import bpe, rans
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,5 +22,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids as rANS files in order of doc_id and reads them back: place, length and checksum of each."""
+    return rans.round_trip(spark, table(spark, sf_dir, "documents"), WORD_BPE, 1).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_rans": op5_rans}
 ORACLES: dict[str, str] = {}
