@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe, rans
+from sampleweave.llm import bpe, packing, rans
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,5 +27,10 @@ def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(spark, table(spark, sf_dir, "documents"), WORD_BPE, 1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_rans": op5_rans}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of 1024 ids: one row per piece."""
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 0))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_rans": op5_rans, "op8_packing": op8_packing}
 ORACLES: dict[str, str] = {}
