@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe, packing, rans
+from sampleweave.llm import bpe, packing, rans, simhash
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,10 +27,16 @@ def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(spark, table(spark, sf_dir, "documents"), WORD_BPE, 1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of shingles of three words, linked at two or fewer differing bits: each document's fingerprint and component."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, reach=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 1024 ids: one row per piece."""
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 0))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_rans": op5_rans, "op8_packing": op8_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
 ORACLES: dict[str, str] = {}

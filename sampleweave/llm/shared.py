@@ -57,32 +57,29 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for each node in an edge; component is the smallest node.
 
     Alternates two steps on an edge table (large-star and small-star): each node's larger neighbours move to its
     smallest neighbour, then its smaller ones do. Both are a minimum per node, combined before the shuffle, and an
-    equi-join back, which adaptive execution splits where one node holds many edges; no neighbour list is ever
-    gathered. The number of rounds grows with the logarithm of the longest path. Each round is a written table.
+    equi-join back. The minima are written first, so that both sides of the join come straight from exchanges and
+    adaptive execution can split the partition of a node that holds many edges; no neighbour list is ever gathered.
+    The number of rounds grows with the logarithm of the longest path. Each step is a written table.
     """
-    spark = edges.sparkSession
-    pairs = written(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
-    )
+    ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    pairs = written(ordered.distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        small = written(small.select("e.u", "e.v").filter("u <> v").distinct(), name)
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        pairs = small
-        if before == tuple(now):
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        down = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        pairs = written(down.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if before == now:
             break
-        before = tuple(now)
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
