@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe, packing, rans, simhash
+from sampleweave.llm import bpe, packing, rans, simhash, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by a model of the labels that are not held out."""
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as rANS files in order of doc_id and reads them back: place, length and checksum of each."""
     return rans.round_trip(spark, table(spark, sf_dir, "documents"), WORD_BPE, 1).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -38,5 +43,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 0))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
 ORACLES: dict[str, str] = {}
