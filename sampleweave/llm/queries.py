@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe, packing, rans, simhash, toxicity
+from sampleweave.llm import bpe, packing, rans, secrets, simhash, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds secrets in every document: counts and digest of the base spans, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    counts = [secrets.count_of(F.col("secrets"), kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    digest = F.sha2(secrets.listed(secrets.base_only(F.col("secrets"))).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
 def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as rANS files in order of doc_id and reads them back: place, length and checksum of each."""
     return rans.round_trip(spark, table(spark, sf_dir, "documents"), WORD_BPE, 1).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -43,5 +51,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 0))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
 ORACLES: dict[str, str] = {}
