@@ -143,7 +143,10 @@ def fitted(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
             return
         yield pa.RecordBatch.from_arrays([pa.array([-1, *model.places], pa.int64()), pa.array([model.bias, *model.weights], pa.float64())], ["place", "weight"])
 
-    chosen = labelled.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "toxic").limit(sample)
+    usable = labelled.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    hashed = F.xxhash64("doc_id", F.lit(7))
+    share = min(1.0, 1.2 * sample / max(1, usable.count()))  # so that tasks send about the sample, not a sample each
+    chosen = usable.filter(F.pmod(hashed, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).orderBy(hashed, "doc_id", "toxic").limit(sample)
     rows = own_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(read, "doc_id long, toxic int, found binary")
     weights = written(rows, "features").coalesce(1).mapInArrow(train, "place long, weight double").orderBy("place").collect()
     if not weights:
