@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe, packing, rans, secrets, simhash, toxicity
+from sampleweave.llm import bpe, packing, pii, rans, secrets, simhash, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,5 +51,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 0))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds personal data in every document: counts and digest of the base spans, and all spans."""
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE]
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.BASE))
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_pii": op9_pii}
 ORACLES: dict[str, str] = {}
