@@ -32,6 +32,7 @@ KINDS = [*BASE, *(f"crf_{k}" for k in BASE)]
 LABELS = 1 + len(BASE)
 BITS = 14  #: hashed node features: the weights are 2**BITS x 5 numbers
 SAMPLE = 4000
+FEATURES = 6  #: features of a token
 TOKENS = 400_000  #: most tokens that are learned from
 CERTAIN = 0.95
 ROUNDS = 12
@@ -42,7 +43,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")  # a match can't begin insi
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+WORD = re.compile(r"\S+")
 HELD = re.compile(r"[0-9@]")
 Span = tuple[int, int, int]  #: start, rank in KINDS, end
 
@@ -106,7 +107,9 @@ def tokens_of(texts: list[str]) -> Tokens:
             continue
         last: dict[str, int] = {}
         before, at = 0, -1
-        for m in TOKEN.finditer(text):
+        for m in WORD.finditer(text):
+            if not HELD.search(m[0]):
+                continue
             token, i = m[0], len(rows)
             left = text[max(0, m.start() - 32) : m.start()].split()
             right = text[m.end() : m.end() + 32].split()
@@ -120,7 +123,7 @@ def tokens_of(texts: list[str]) -> Tokens:
             before = m.end()
             rows.append((k, m.start(), m.end()))
     a = np.array(rows, np.int64).reshape(-1, 3)
-    return Tokens(a[:, 0], a[:, 1], a[:, 2], np.array(found, np.int64).reshape(len(rows), -1), np.array(chain, np.int64), np.array(skip, np.int64))
+    return Tokens(a[:, 0], a[:, 1], a[:, 2], np.array(found, np.int64).reshape(len(rows), FEATURES), np.array(chain, np.int64), np.array(skip, np.int64))
 
 
 def base_labels(made: Tokens, spans: list[list[Span]]) -> np.ndarray:

@@ -93,4 +93,6 @@ def test_query(spark, tmp_path):
         assert ",".join(x for x in r[6].split(",") if not x.startswith("crf_")) == base
         assert r[0] != 902 or r[6] == ""
     assert pii.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clean = spark.createDataFrame([(i, "no data here") for i in range(600)] + [(700, "a 5")], "doc_id long, text string").coalesce(1)
+    assert all(not r["spans"] for r in pii.scan(clean).collect())
     assert pii.scan(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["spans"] == []
