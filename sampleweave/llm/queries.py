@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe, packing, pii, rans, secrets, simhash, toxicity
+from sampleweave.llm import bpe, packing, pii, rans, secrets, simhash, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page as a WARC record, normalises the archives and reads them back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document by a model of the labels that are not held out."""
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,5 +64,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_pii": op9_pii}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_pii": op9_pii}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        g AS (SELECT payload_digest, max(page_id) AS response, count(*) AS n FROM q WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT q.page_id, q.payload_bytes, q.payload_digest,
+               CASE WHEN g.n > 1 AND q.page_id <> g.response THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN g.n > 1 AND q.page_id <> g.response THEN g.response END AS refers_to
+        FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest AND q.payload_bytes >= 1000
+    """,
+}
