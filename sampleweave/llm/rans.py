@@ -248,9 +248,9 @@ def counted(ids: DataFrame, wide: int) -> Table:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                part = np.bincount(unpacked(x, wide))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                part = np.bincount(np.concatenate([unpacked(x, wide) for x in whole.column(0).slice(at, 512).to_pylist()]))
                 if len(part) > len(total):
                     total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
                 total[: len(part)] += part
@@ -293,14 +293,18 @@ def write_files(ids: DataFrame, table: Table, folder: str, wide: int) -> DataFra
                     seq, writer = seq + 1, None
         if writer is not None:
             close()
-        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], schema=schema)
+        yield as_batch(done, schema)
 
-    names = ["part", "seq", "path", "n_docs", "n_tokens"]
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     ordered = ids.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
     return written(ordered.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"), "manifest")
 
 
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
 def read_files(manifest: DataFrame, table: Table) -> DataFrame:
     """Reads files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. A task decodes whole files, one block at a time.
 
@@ -322,17 +326,14 @@ def read_files(manifest: DataFrame, table: Table) -> DataFrame:
                         rows.append((doc, start, n, crc))
                         start += n
                         if len(rows) == 4096:
-                            yield as_batch(rows)
+                            yield as_batch(rows, schema)
                             rows = []
-                yield as_batch(rows)
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema=schema)
+                yield as_batch(rows, schema)
 
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "start")
-    return files.repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
