@@ -19,20 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sampleweave.llm.shared import own_columns
-from sampleweave.llm.tokens import WordText
+from sampleweave.llm.tokens import WordText, byte_letters
 
 #: Most pairs of tokens whose compatibility is remembered.
 PAIRS = 1_000_000
 NEVER = 1 << 30
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in byte-level vocabularies, to the byte: printable ones stand for themselves, the others follow from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """A vocabulary with its merges, as a suffix automaton over symbols: bytes, and bytes that end a word (256 more)."""
 

@@ -9,6 +9,7 @@ Ids are bytes throughout: little-endian unsigned 32-bit integers, so a document'
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
@@ -19,7 +20,7 @@ from collections.abc import Callable
 import regex
 
 #: Most entries of a generation of a cache.
-CACHE = 500_000
+CACHE = 450_000
 #: Characters whose class or case is newer than the Unicode tables of Python: such texts go through the library's own steps.
 NEWER = re.compile("[\u1c89\u1c8a\ua7cb-\ua7f1\U00010d40-\U00010d8f\U00010ec0-\U00010eff\U00016ea0-\U00016eff]")
 #: Controls that str.split takes for white space and tokenizers do not.
@@ -37,36 +38,77 @@ def tokenizer(path: str):
     return found
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in byte-level vocabularies, to the byte: printable ones stand for themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def by_library(found) -> Callable[[list[str]], list[bytes]]:
+    """Encodes pre-tokens with the BPE model of a tokenizer of the tokenizers library (its other steps have run already)."""
+    letters = {b: c for c, b in byte_letters().items()}
+    run = found.model.tokenize
+
+    def encode(words: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in run(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]).tobytes() for w in words]
+
+    return encode
+
+
 def id_bytes(ids) -> bytes:
     return array("I", ids).tobytes()
 
 
 class Cache(dict):
-    """A bounded dict from a piece of text to the bytes of its ids, in two generations: what is used again outlives the older half."""
+    """A bounded dict from a piece of text to the bytes of its ids, in two generations: what is used again outlives the older half.
+
+    encode gets the pieces that are missing and returns them, and any others that it had to encode, with their ids.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE):
+    def __init__(self, encode: Callable[[list[str]], dict[str, bytes]], most: int = CACHE):
         super().__init__()
         self.encode, self.most, self.older = encode, most, {}
+        gc.set_threshold(200_000, 20, 20)  # caches hold no cycles; looking through them often costs more than encoding
 
     def joined(self, pieces: list[str]) -> bytes:
         found = list(map(self.get, pieces))
-        if None not in found:
-            return b"".join(found)
-        self.learn({x for x, ids in zip(pieces, found, strict=True) if ids is None})
-        return b"".join([self[x] if ids is None else ids for x, ids in zip(pieces, found, strict=True)])
-
-    def of(self, piece: str) -> bytes:
+        holes, at = [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                holes.append(at)
+        except ValueError:
+            pass
+        if holes:
+            self.learn({pieces[i] for i in holes})
+            for i in holes:
+                found[i] = self[pieces[i]]
+        return b"".join(found)
+
+    def of(self, piece: str) -> bytes | None:
         found = self.get(piece)
-        return self.older[piece] if found is None else found
+        return self.older.get(piece) if found is None else found
 
     def learn(self, missing: set[str]) -> None:
-        if len(self) + len(missing) > self.most:
+        again = {x: ids for x in missing if (ids := self.older.get(x)) is not None}
+        if len(again) < len(missing):
+            again |= self.encode([x for x in missing if x not in again])
+        if len(self) + len(again) > self.most:
             self.older = dict(self)
             self.clear()
-        if again := {x: ids for x in missing if (ids := self.older.get(x)) is not None}:
-            self.update(again)
-        if new := [x for x in missing if x not in again]:
-            self.update(zip(new, self.encode(new), strict=True))
+        self.update(again)
+
+
+def looked_up(cache: Cache, chunks: list[str], split: list[list[str]], encode: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+    """The ids of chunks that are split into words of the same cache, and of the words that it did not hold."""
+    known = {w: cache.of(w) for ws in split for w in ws}
+    new = [w for w, ids in known.items() if ids is None]
+    made = dict(zip(new, encode(new), strict=True))
+    known |= made
+    for chunk, ws in zip(chunks, split, strict=True):
+        made[chunk] = known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws))
+    return made
 
 
 def newer(text: str) -> bool:
@@ -86,21 +128,20 @@ class WordText:
     encode_words gets distinct words (pre-tokens, normalised) and returns the bytes of their ids.
     """
 
-    def __init__(self, path: str, encode_words: Callable[[list[str]], list[bytes]]):
+    def __init__(self, path: str, encode_words: Callable[[list[str]], list[bytes]] | None = None):
         spec = json.load(open(path, encoding="utf-8"))
         self.tokenizer = tokenizer(path)
+        encode_words = encode_words or by_library(self.tokenizer)
         self.special = {x["content"]: x["id"].to_bytes(4, "little") for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.find = regex.compile(pattern).findall
-        self.words = Cache(encode_words, CACHE // 2)
+        self.encode = encode_words
         self.chunks = Cache(self._chunks)
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
         split = [[x] if x.isalpha() else [x[:-1], x[-1]] if x[-1] in ".,;:" and x[:-1].isalpha() else self.find(x) for x in chunks]
-        if new := {w for ws in split for w in ws if w not in self.words}:
-            self.words.learn(new)
-        return [self.words.of(ws[0]) if len(ws) == 1 else b"".join(map(self.words.of, ws)) for ws in split]
+        return looked_up(self.chunks, chunks, split, self.encode)
 
     def _plain(self, text: str) -> bytes:
         if newer(text):
@@ -108,12 +149,12 @@ class WordText:
             pieces = self.find(whole) if not newer(whole) else None
             if pieces is None:
                 return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            return self.words.joined(pieces)
+            return self.chunks.joined(pieces)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         if any(c in text for c in CONTROLS):
-            return self.words.joined(self.find(text))
+            return self.chunks.joined(self.find(text))
         return self.chunks.joined(text.split())
 
     def ids(self, text: str | None) -> bytes:
@@ -143,24 +184,32 @@ class ByteText:
         import public_tokenizers
 
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.whole = Cache(self._encoded, CACHE // 4)
-        self.first = Cache(lambda chunks: self._encoded(self._alone(chunks)), CACHE // 4)
-        self.later = Cache(lambda chunks: self._encoded([f" {x}" for x in self._alone(chunks)]))
+        self.encode = by_library(self.tokenizer)
+        self.words = Cache(lambda words: dict(zip(words, self.encode(words), strict=True)), CACHE // 4)
+        self.later = Cache(self._later)
 
-    def _alone(self, chunks: list[str]) -> list[str]:
+    def _later(self, chunks: list[str]) -> dict[str, bytes]:
+        """Chunks that follow a space; their first words are kept without it, the others by themselves in words."""
         if any(not x or x[0].isspace() or x[-1].isspace() for x in chunks):
             raise NotAlone
-        return chunks
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [id_bytes(x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        split = [[f" {x}"] if x.isalpha() else [f" {x[:-1]}", x[-1]] if x[-1] in ".,;:" and x[:-1].isalpha() else self.find(f" {x}") for x in chunks]
+        heads = {ws[0][1:] for ws in split}
+        known = {w: self.later.of(w) for w in heads if w}
+        new = [w for w, ids in known.items() if ids is None]
+        made = dict(zip(new, self.encode([f" {w}" for w in new]), strict=True))
+        known |= made
+        for chunk, ws in zip(chunks, split, strict=True):
+            made[chunk] = known[ws[0][1:]] + self.words.joined(ws[1:])
+        return made
 
     def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
+        if not first or first[-1].isspace():
+            return self.words.joined(self.find(text))
         try:
-            return self.first.joined([first]) + self.later.joined(rest)
+            return self.words.joined(self.find(first)) + self.later.joined(rest)
         except NotAlone:
-            return self.whole.joined(self.find(text))
+            return self.words.joined(self.find(text))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -172,13 +221,8 @@ class ByteText:
 
 @functools.cache
 def library_words(path: str) -> WordText:
-    """Words encoded by the tokenizers library itself (its normaliser has run already)."""
-    spec = json.load(open(path, encoding="utf-8"))
-    spec["normalizer"] = None
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_str(json.dumps(spec))
-    return WordText(path, lambda words: [id_bytes(x.ids) for x in plain.encode_batch_fast(words, add_special_tokens=False)])
+    """Words encoded by the tokenizers library itself."""
+    return WordText(path)
 
 
 @functools.cache

@@ -42,7 +42,7 @@ def test_random_texts(library):
 def test_every_token_is_its_own_encoding():
     own = bpe.vocabulary(WORD)
     names = [n.removesuffix("</w>") for n in own.names if n.endswith("</w>") and n != "</w>"]
-    letters = bpe.byte_letters()
+    letters = tokens.byte_letters()
     for i in range(0, len(names), 7):
         raw = bytes(letters[c] for c in names[i])
         try:
@@ -53,7 +53,7 @@ def test_every_token_is_its_own_encoding():
 
 
 def test_small_caches_change_nothing():
-    small = tokens.Cache(lambda xs: [x.encode() for x in xs], most=3)
+    small = tokens.Cache(lambda xs: {x: x.encode() for x in xs}, most=3)
     draw = random.Random(2)
     for _ in range(200):
         pieces = [draw.choice("abcdefgh") for _ in range(draw.randint(0, 9))]
