@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe, packing, pii, rans, secrets, simhash, toxicity, warc
+from sampleweave.llm import bpe, multi_index, packing, pii, rans, secrets, simhash, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,7 +64,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_pii": op9_pii}
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links vectors of equal labels at a cosine of 0.93 or more: each vector's links and component."""
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93).select("vec_id", "n_links", "component_id", "kept")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_multi_index": op10_multi_index}
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
