@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import bpe, multi_index, packing, pii, rans, secrets, simhash, toxicity, warc
+from sampleweave.llm import bpe, cover_tree, multi_index, packing, pii, rans, secrets, simhash, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,12 @@ def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(spark, table(spark, sf_dir, "documents"), WORD_BPE, 1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector whose vec_id is divisible by 50 the five others with the highest integer inner product."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return cover_tree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5, 256)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of shingles of three words, linked at two or fewer differing bits: each document's fingerprint and component."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, reach=2)
@@ -69,7 +75,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93).select("vec_id", "n_links", "component_id", "kept")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_multi_index": op10_multi_index}
+QUERIES = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_rans": op5_rans, "op6_cover_tree": op6_cover_tree, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_multi_index": op10_multi_index}
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -80,4 +86,31 @@ ORACLES: dict[str, str] = {
                CASE WHEN g.n > 1 AND q.page_id <> g.response THEN g.response END AS refers_to
         FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest AND q.payload_bytes >= 1000
     """,
+    "op6_cover_tree": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS code FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.code, b.code) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op10_multi_index": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        ),
+        pairs AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+        ),
+        reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+        links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(least.b, e.vec_id)) AS component_id,
+               e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) AS kept
+        FROM embeddings e LEFT JOIN links ON links.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
+    """,
 }

@@ -168,7 +168,9 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def links(prints: DataFrame, reach: int) -> DataFrame:
     """Edges (a, b) between representatives that connect all fingerprints within reach of each other. prints: fingerprint (all different), rep."""
     total = prints.count()
-    sample = np.array([r[0] for r in prints.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    share = int(min(1.0, SAMPLE / max(1, total)) * (1 << 20))
+    chosen = prints.select("fingerprint").filter(F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 20)) < share).limit(SAMPLE).collect()
+    sample = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
     leaves: list[Node] = []
     tree = grown(sample, max(8, len(sample) * SHARD // max(1, total)), reach, np.random.default_rng(0), leaves, keep=False)
 
