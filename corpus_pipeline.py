@@ -1,16 +1,57 @@
-"""The corpus pipeline: the stages, in order, that turn documents into packed sequences."""
+"""The corpus pipeline: the stages, in order, that turn documents into packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and all documents that its predecessor kept; all but the last return the columns of
+documents. A caller that keeps the stages' results writes each before it runs the next, as run does.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sampleweave.llm import packing, secrets, shared, simhash, toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Shingles of five words; fingerprints of texts with a similarity of 0.8 or more seldom differ in more bits.
+SHINGLE, REACH = 5, 3
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a model of the labels, but for those held out, scores at the threshold or above."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fitted(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.scored(docs.select(*COLUMNS), model).filter(F.col("toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates the document with the smallest doc_id; documents without one stay, too."""
+    groups = shared.written(simhash.near_duplicates(docs, SHINGLE, REACH), "groups")
+    lost = groups.filter("component_id is not null and doc_id <> component_id").select("doc_id")
+    return docs.select(*COLUMNS).join(lost, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of each secret; documents without one are untouched."""
+    found = secrets.scan(docs.select(*COLUMNS), "found")
+    changed = F.size("found") > 0
+    made = found.withColumn("clean", secrets.redacted(F.col("text"), F.col("found")))
+    made = made.withColumn("size", F.when(changed, F.length("clean").cast("long")).otherwise(F.col("n_chars")))
+    return made.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.col("size").alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 ids: one row per piece."""
+    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0))
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxic), ("near-duplicates", near_duplicates), ("secrets", without_secrets), ("packing", packed)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents."""
+    """Applies all stages to documents; each result but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
