@@ -39,11 +39,11 @@ def fold_ports(samples: DataFrame, ports: Sequence[str], op: str) -> DataFrame:
 def wrapped(x: Column, kind: str) -> Column:
     """An integer of any size as an integer type keeps it: modulo its range."""
     bits, signed = INTEGERS[kind]
-    wide = x.cast("decimal(38,0)")
-    low = wide % F.lit(1 << bits).cast("decimal(38,0)")
-    low = F.when(low < 0, low + F.lit(1 << bits).cast("decimal(38,0)")).otherwise(low)
+    whole, half = (F.lit(str(1 << n)).cast("decimal(38,0)") for n in (bits, bits - 1))
+    low = x.cast("decimal(38,0)") % whole
+    low = F.when(low < 0, low + whole).otherwise(low)
     if signed:
-        low = F.when(low >= F.lit(1 << (bits - 1)).cast("decimal(38,0)"), low - F.lit(1 << bits).cast("decimal(38,0)")).otherwise(low)
+        low = F.when(low >= half, low - whole).otherwise(low)
     return low.cast(SPARK_TYPE[kind])
 
 
