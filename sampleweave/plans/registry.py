@@ -435,3 +435,6 @@ def complex_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = signal(spark, sf_dir).select("stream_id", "idx", cplx.complex_(F.col("value"), F.coalesce(F.lag("value").over(w), F.lit(0.0))).alias("value"))
     parts = elementwise.rotator(z.withColumn("z", F.col("value")), phase_increment=0.1).withColumnRenamed("value", "turned").withColumnRenamed("z", "value")
     return parts.select("stream_id", "idx", r6(cplx.magnitude(F.col("value")), "mag"), r6(cplx.arg(F.col("value")), "phase"), (F.round("turned.re", 5) + F.lit(0.0)).alias("rotated_re"), (F.round("turned.im", 5) + F.lit(0.0)).alias("rotated_im"))
+
+
+from sampleweave.plans import kernel_queries as _kernel_queries  # noqa: E402, F401  (registers its queries)
