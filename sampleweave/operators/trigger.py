@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_END = 1 << 62
@@ -133,9 +133,46 @@ def ranges(rule: Filter, tags: list[tuple[int, str, str]], pre: int, post: int,
     return merged
 
 
+def matching(side: Side, reverse: bool = False) -> Column:
+    """Whether a tag matches a side, as a column; reverse: the side's context holds the tag's."""
+    name, context = F.coalesce("name", F.lit("")), F.coalesce("context", F.lit(""))
+    out = F.lit(True) if not side.name else name == side.name
+    if not side.context:
+        return out
+    return out & (F.lit(side.context).contains(context) if reverse else context.contains(side.context))
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """Ranges of a stream that overlap become one, with the first one's trigger; empty ones go."""
+    w = Window.partitionBy("stream_id").orderBy("i_start", "trigger")
+    before = F.max("i_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.filter("i_end > i_start").withColumn("_new", F.when(before.isNull() | (F.col("i_start") >= before), 1).otherwise(0))
+    rows = rows.withColumn("seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return rows.groupBy("stream_id", "seg").agg(F.min_by("trigger", F.struct("i_start", "trigger")).alias("trigger"), F.min("i_start").alias("i_start"), F.max("i_end").alias("i_end"))
+
+
 def segments(tags: DataFrame, rule: str | Filter, pre: int = 0, post: int = 0, overlap: bool = False) -> DataFrame:
-    """stream_id, seg, trigger, i_start, i_end of the ranges that a filter selects. tags: stream_id, idx, name, context, seq."""
+    """stream_id, seg, trigger, i_start, i_end of the ranges that a filter selects. tags: stream_id, idx, name, context, seq.
+
+    Single triggers, and starts and stops that may not overlap, are window expressions over the tags; filters with ^ and
+    overlapping starts and stops need the automaton above and run it over each stream's tags.
+    """
     rule = parsed(rule) if isinstance(rule, str) else rule
+    w = Window.partitionBy("stream_id").orderBy("idx")
+    columns = ["stream_id", "seg", "trigger", "i_start", "i_end"]
+    if rule.single:
+        hit = tags.filter(matching(rule.one, reverse=True)).select("stream_id", "idx").distinct()
+        found = hit.select("stream_id", F.col("idx").alias("trigger"), F.greatest(F.col("idx") - pre, F.lit(0)).alias("i_start"), (F.col("idx") + post).alias("i_end"))
+        if not overlap:
+            return merged(found).select(*columns)
+        return found.withColumn("seg", (F.row_number().over(Window.partitionBy("stream_id").orderBy("trigger")) - 1).cast("long")).select(*columns)
+    if not (overlap or rule.start.after or rule.stop.after):
+        mark = F.when(matching(rule.start), 1).when(matching(rule.stop), 0)
+        marks = tags.withColumn("_mark", mark).filter("_mark is not null").groupBy("stream_id", "idx").agg(F.min_by("_mark", "seq").alias("_mark"))
+        turns = marks.withColumn("_was", F.lag("_mark", 1, 0).over(w)).filter("_mark <> _was")
+        turns = turns.withColumn("_stop", F.lead("idx").over(w)).filter("_mark = 1")
+        found = turns.select("stream_id", F.col("idx").alias("trigger"), F.greatest(F.col("idx") - pre, F.lit(0)).alias("i_start"), F.coalesce(F.col("_stop") + post, F.lit(OPEN_END)).alias("i_end"))
+        return merged(found).select(*columns)
 
     def of_stream(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["idx", "seq"], kind="stable")
