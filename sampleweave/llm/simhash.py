@@ -26,8 +26,8 @@ from sampleweave.llm.shared import components, own_columns, written
 
 SEED = 42
 SAMPLE = 1 << 16  #: most fingerprints on which the top of the tree is fitted
-SHARD = 4096  #: fingerprints of a shard, about
-MOST = 1 << 15  #: a shard with more homes is split into chunks, each searched by all that visit the shard
+SHARD = 1 << 14  #: fingerprints of a shard, about
+MOST = 1 << 16  #: a shard with more homes is split into chunks, each searched by all that visit the shard
 LEAF = 96  #: fingerprints below which a shard's own tree ends
 RUN = 1 << 17  #: shingles that are hashed at once
 
