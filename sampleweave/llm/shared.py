@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Folders that this driver has made and not removed.
+MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +46,14 @@ def removed(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Deletes every intermediate of this driver; call it when no result that reads one is needed any more."""
+    for path in list(MADE):
+        removed(spark, path)
 
 
 def file_system(uri: str):
