@@ -17,8 +17,13 @@ def sign(x: Column) -> Column:
     return F.when(x >= 0, 1.0).otherwise(-1.0)
 
 
+def logarithm(x: Column, factor: float) -> Column:
+    """factor * log10(x): minus infinity at zero, not a number below."""
+    return F.when(x == 0, float("-inf")).when(x < 0, NAN).otherwise(factor * F.log10(F.when(x > 0, x)))
+
+
 def decibel(x: Column) -> Column:
-    return 20 * F.log10(x)
+    return logarithm(x, 20.0)
 
 
 def inverse_decibel(x: Column) -> Column:
@@ -30,11 +35,11 @@ def divided(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(NAN)).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 
-#: How two values make one; those of one argument act on the sum, as the identity of two data sets does.
+#: How two values make one; squares, roots and logarithms act on the sum, as the identity of two data sets does.
 MATH = {
     "ADD": lambda a, b: a + b, "SUBTRACT": lambda a, b: a - b, "MULTIPLY": lambda a, b: a * b, "DIVIDE": divided,
-    "SQR": lambda a, b: (a + b) * (a + b), "SQRT": lambda a, b: F.sqrt(a + b), "LOG10": lambda a, b: F.log10(a + b),
-    "DB": lambda a, b: decibel(a + b), "INV_DB": lambda a, b: inverse_decibel(a + b), "IDENTITY": lambda a, b: a + b,
+    "SQR": lambda a, b: (a + b) * (a + b), "SQRT": lambda a, b: F.when(a + b > 0, F.sqrt(a + b)).otherwise(NAN), "LOG10": lambda a, b: logarithm(a + b, 10.0),
+    "DB": lambda a, b: decibel(a + b), "INV_DB": lambda a, b: inverse_decibel(a), "IDENTITY": lambda a, b: a + b,
 }
 
 

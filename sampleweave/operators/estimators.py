@@ -150,37 +150,69 @@ def consistent(ds: Column) -> Column:
     return (F.size(ds["axis_names"]) == F.size(ds["axis_units"])) & (F.size(ds["axis_names"]) == F.size(ds["axis_values"])) & (signals == F.size(ds["signal_units"])) & (signals == F.size(ds["signal_ranges"])) & (F.size(ds["signal_values"]) == signals * count)
 
 
-def settling(y: np.ndarray, window: int, tolerance: float | None = None) -> tuple[int, float] | None:
-    """The middle of the first window whose deviation is within tolerance (2 % of the range), grown while it keeps falling, and its mean."""
-    y = np.asarray(y, float)
-    tolerance = 0.02 * float(np.ptp(y)) if tolerance is None else tolerance
-    for i in range(len(y) - window + 1):
-        rms = y[i : i + window].std()
-        if rms <= tolerance:
-            size = window
-            while i + size < len(y) and (more := y[i : i + size + 1].std()) < rms:
-                rms, size = more, size + 1
-            return i + size // 2, float(y[i : i + size].mean())
-    return None
+def settling(y: np.ndarray, window: int, tolerance: float = 0.0, first: int = 0, last: int | None = None) -> tuple[int, float] | None:
+    """The middle of the first window whose deviation is within tolerance (2 % of the range), and the window's mean."""
+    part = np.asarray(y, float)[first:last]
+    if window < 1 or len(part) < window:
+        return None
+    views = np.lib.stride_tricks.sliding_window_view(part, window)
+    calm = np.flatnonzero(views.std(axis=1) <= (tolerance or 0.02 * float(np.ptp(part))))
+    return (first + int(calm[0]) + window // 2, float(views[calm[0]].mean())) if len(calm) else None
+
+
+def crossing(x: np.ndarray, y: np.ndarray, level: float, last: int | None = None) -> float:
+    """The interpolated x at which y first reaches a level from its side at the start; the last y where it never does."""
+    last = len(y) if last is None else last
+    there = (y >= level if y[0] < level else y <= level)[:last]
+    there[0] = False
+    hits = np.flatnonzero(there)
+    if not len(hits):
+        return float(y[last - 1])
+    i = int(hits[0])
+    return float(x[i]) if y[i] == y[i - 1] else float(x[i - 1] + (x[i] - x[i - 1]) * (level - y[i - 1]) / (y[i] - y[i - 1]))
 
 
 def step_response(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    """Of a step or pulse: levels before and after, rise time from 10 % to 90 %, overshoot in percent, whether it falls, and whether it comes back."""
+    """Of a step or pulse: its direction and time, levels before and after, rise time from 10 % to 90 %, peak, overshoot (the
+    peak's height in percent of the step: 100 for none), settling time, and whether it comes back. The levels come from rough edges at 20 %, 50 % and 80 % first."""
     x, y = np.asarray(x, float), np.asarray(y, float)
-    falls = abs(y.min() - y[0]) > abs(y.max() - y[0])
-    z = -y if falls else y
-    lo, hi = z[0], z.max()
-
-    def reach(share: float, a: float, b: float) -> int:
-        hits = np.flatnonzero(z >= a + share * (b - a))
-        return int(hits[0]) if len(hits) else len(z) - 1
-
-    start, mid, end = reach(0.2, lo, hi), reach(0.5, lo, hi), reach(0.8, lo, hi)
-    rough = max(1, end - start)
-    v1 = float(z[: max(1, start - rough)].mean())
-    top = int(z[: mid + 2 * rough + 1].argmax())
-    settled = settling(z[end:], min(4 * rough, len(z) - end))
-    v2 = settled[1] if settled else float(np.median(z[end:]))
-    t10, t90 = reach(0.1, v1, v2), reach(0.9, v1, v2)
+    first, low, high = float(y[0]), float(y.min()), float(y.max())
+    rising = first < high
+    if not rising and not first > low:
+        raise ValueError("no step in the signal")
+    sign = 1.0 if rising else -1.0
+    reach = high - first if rising else first - low
+    at = [min(len(x) - 1, int(np.searchsorted(x, crossing(x, y, first + sign * share * reach)))) for share in (0.2, 0.5, 0.8)]
+    rough, edge, least = at[2] - at[0], at[1], 0.02 * (high - low)
+    lead = y[: max(1, edge - rough if edge > rough else 4)]
+    start = crossing(x, y, float(lead.mean()) + sign * 2.5 * max(float(lead.std()), least), max(1, edge))
+    v1 = float(y[: max(1, min(int(start), edge))].mean())
+    near = sign * y[edge : max(edge + 1, min(edge + 2 * rough, len(y)))]
+    top = edge + int(near.argmax())
+    calm = settling(y, 4 * rough, least, top)
+    v2 = calm[1] if calm else high
     step = v2 - v1
-    return {"v1": -v1 if falls else v1, "v2": -v2 if falls else v2, "rise_time": float(x[t90] - x[t10]), "overshoot": float((z[top] - v2) / step * 100) if step else 0.0, "falling": float(falls), "pulse": float(v2 - z[-1] > 3 * 0.1 * abs(step))}
+    times = {share: crossing(x, y, v1 + share * step) for share in (0.1, 0.5, 0.9)}
+    return {
+        "rising": float(rising), "trigger_time": times[0.5], "v1": v1, "v2": v2, "rise_time": times[0.9] - times[0.1],
+        "peak_amplitude": float(y[top]) - v1, "peak_time": float(x[top]), "overshoot": (float(y[top]) - v1) / step * 100 if step else 0.0,
+        "settling_time": float(calm[0]) if calm else float("nan"), "pulse": float(v2 - y[-1] > 3 * least),
+    }
+
+
+def step_responses(rows: DataFrame) -> DataFrame:
+    """step_response of every data set (ds, idx, x, y); data sets without a step give nulls."""
+    import pandas as pd
+
+    kind = dict(rows.dtypes)["ds"]
+    names = ["rising", "trigger_time", "v1", "v2", "rise_time", "peak_amplitude", "peak_time", "overshoot", "settling_time", "pulse"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        try:
+            made = step_response(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+        except ValueError:
+            made = {}
+        return pd.DataFrame({"ds": [pdf["ds"].iloc[0]], **{n: [made.get(n)] for n in names}}).astype(dict.fromkeys(names, float))
+
+    return rows.select("ds", "idx", "x", "y").groupBy("ds").applyInPandas(run, f"ds {kind}, " + ", ".join(f"{n} double" for n in names))

@@ -13,6 +13,9 @@ from sampleweave.functions import windows
 from sampleweave.operators.window import strided
 
 
+LOWEST = -float(np.finfo(np.float64).max)  #: stands for the level of nothing
+
+
 def dft(samples: DataFrame, size: int, window: str = "Hann") -> DataFrame:
     """For small sizes without Python: each sample meets the bins 0 to size / 2 - 1 and sums make re and im (stream_id, win, bin)."""
     rows = strided(samples, size).withColumn("_x", F.col("value") * windows.column(window, F.col("pos"), size))
@@ -23,7 +26,7 @@ def dft(samples: DataFrame, size: int, window: str = "Hann") -> DataFrame:
 
 def magnitude(re: Column, im: Column, size: int, in_db: bool = False) -> Column:
     m = F.hypot(re, im) * (2.0 / size)
-    return 20 * F.log10(F.abs(m)) if in_db else m
+    return F.when(m > 0, 20 * F.log10(F.when(m > 0, m))).otherwise(LOWEST) if in_db else m
 
 
 def unwrapped(spectrum: DataFrame, phase: str = "phase") -> DataFrame:
@@ -45,8 +48,7 @@ def fft(samples: DataFrame, size: int = 1024, window: str = "Hann", sample_rate:
         phase = np.angle(z)
         if unwrap:
             phase = np.unwrap(phase)
-        with np.errstate(divide="ignore"):
-            shown = 20 * np.log10(np.abs(size_)) if in_db else size_
+        shown = np.where(size_ > 0, 20 * np.log10(np.where(size_ > 0, size_, 1.0)), LOWEST) if in_db else size_
         return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]], "win": [pdf["win"].iloc[0]], "frequency": [np.arange(size // 2) * sample_rate / size], "magnitude": [shown], "phase": [np.degrees(phase) if in_degrees else phase], "re": [z.real], "im": [z.imag]})
 
     kind = dict(samples.dtypes)["stream_id"]

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from sampleweave.functions import cplx, scalars, uncertain
 from sampleweave.functions import tags as tag_functions
-from sampleweave.operators import align, design, elementwise, frequency, power, recursive, select, spectral, timing, trigger, window
+from sampleweave.operators import align, design, elementwise, estimators, frequency, power, recursive, select, spectral, timing, trigger, window
 from sampleweave.plans.graph import Graph
 from sampleweave.plans.registry import STREAM, query, r6, rounded
-from sampleweave.plans.sources_of_queries import indexed, signal, tags
+from sampleweave.plans.sources_of_queries import datasets, indexed, signal, tags
 from sampleweave.sources import generators
 
 
@@ -232,6 +232,12 @@ def power_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(power.power_metrics(rows), "P", "Q", "S", "u_rms", "i_rms")
 
 
+@query()
+def step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = estimators.step_responses(datasets(spark, sf_dir))
+    return rounded(made, *(c for c in made.columns if c != "ds"))
+
+
 @query()
 def drift_compensation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timing.drift_compensated(signal(spark, sf_dir), 20_000.0, "Cubic"), "value")

@@ -210,6 +210,13 @@ def test_scalars(spark):
     assert r["var"] == pytest.approx(np.var([1, 2, 4])) and math.isnan(r["d"][0])
 
 
+def test_logarithms(spark):
+    a = F.array(F.lit(0.0), F.lit(100.0), F.lit(-1.0))
+    r = spark.range(1).select(*(scalars.array_math(op, a, 0.0).alias(op) for op in ("LOG10", "DB", "SQRT", "IDENTITY", "INV_DB"))).first()
+    assert r["LOG10"][:2] == [-math.inf, 20] and r["DB"][:2] == [-math.inf, 40] and r["SQRT"][1] == 10 and math.isnan(r["SQRT"][0]) and math.isnan(r["DB"][2])
+    assert r["IDENTITY"] == [0, 100, -1] and r["INV_DB"][1] == 1e5
+
+
 def test_estimators(spark):
     n = 200
     y = np.exp(-((np.arange(n) - 90.3) ** 2) / (2 * 12**2))
@@ -218,9 +225,15 @@ def test_estimators(spark):
     assert estimators.width_at_half_maximum(rows).first()["width"] == pytest.approx(2.3548 * 12, abs=0.05)
     step = np.concatenate([np.zeros(50), np.linspace(0, 1, 11), np.ones(139)])
     made = estimators.step_response(np.arange(n), step)
-    assert made["rise_time"] == pytest.approx(8, abs=1) and abs(made["overshoot"]) < 1 and not made["falling"]
-    assert estimators.step_response(np.arange(n), -step)["falling"]
-    assert estimators.settling(step, 20)[1] == pytest.approx(0, abs=0.1)
+    assert made["rise_time"] == pytest.approx(8) and made["overshoot"] == pytest.approx(100) and made["rising"] and not made["pulse"]
+    assert (made["v1"], made["v2"], made["trigger_time"]) == pytest.approx((0, 1, 55), abs=1e-6)
+    assert not estimators.step_response(np.arange(n), -step)["rising"]
+    over = step + 0.2 * np.exp(-((np.arange(n) - 64) ** 2) / 8.0) * (np.arange(n) > 60)
+    assert estimators.step_response(np.arange(n), over)["overshoot"] == pytest.approx(120, abs=1)
+    assert estimators.settling(step, 20, 0.001, 30) == (40, 0.0)
+    both = spark.createDataFrame([("a", i, float(i), float(v)) for i, v in enumerate(step)] + [("b", i, float(i), 1.0) for i in range(5)], "ds string, idx long, x double, y double")
+    rows = {r["ds"]: r for r in estimators.step_responses(both).collect()}
+    assert rows["a"]["rise_time"] == pytest.approx(8) and rows["b"]["rise_time"] is None
 
 
 def test_tags(spark):
