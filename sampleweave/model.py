@@ -21,10 +21,20 @@ TAG_KEYS = ["sample_rate", "signal_name", "num_channels", "signal_quantity", "si
 DATASET = "struct<timestamp:bigint,axis_names:array<string>,axis_units:array<string>,axis_values:array<array<double>>,extents:array<int>,layout:string,signal_names:array<string>,signal_quantities:array<string>,signal_units:array<string>,signal_values:array<double>,signal_ranges:array<struct<min:double,max:double>>,meta:array<map<string,string>>,timing_events:array<array<struct<idx:bigint,tag:map<string,string>>>>>"
 
 
-def with_index(df: DataFrame, stream: str | Column, order: Sequence[str | Column]) -> DataFrame:
-    """df with stream_id and idx, the place in its stream from 0. The order must be total for the index to be defined."""
+def with_index(df: DataFrame, stream: str | Column, order: Sequence[str | Column], bucket: Column | None = None) -> DataFrame:
+    """df with stream_id and idx, the place in its stream from 0. The order must be total for the index to be defined.
+
+    A stream is sorted in one task, unless bucket is given: a column that never falls along the order (such as the day of
+    its time). Then every bucket of a stream is sorted by itself and starts at the sum of the counts before it.
+    """
     made = df.withColumn("stream_id", F.col(stream) if isinstance(stream, str) else stream)
-    return made.withColumn("idx", (F.row_number().over(Window.partitionBy("stream_id").orderBy(*order)) - 1).cast("long"))
+    if bucket is None:
+        return made.withColumn("idx", (F.row_number().over(Window.partitionBy("stream_id").orderBy(*order)) - 1).cast("long"))
+    made = made.withColumn("_bucket", bucket)
+    earlier = Window.partitionBy("stream_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = made.groupBy("stream_id", "_bucket").agg(F.count("*").alias("_n")).select("stream_id", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("stream_id", "_bucket").orderBy(*order)) - 1
+    return made.withColumn("_place", place).join(starts, ["stream_id", "_bucket"]).withColumn("idx", F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start", "_n")
 
 
 def in_order() -> WindowSpec:

@@ -183,3 +183,26 @@ def python_block(samples: DataFrame, process, outputs: str = "value double") ->
 def previous(samples: DataFrame) -> DataFrame:
     """Each sample with the one before it."""
     return samples.withColumn("previous", F.lag("value").over(Window.partitionBy("stream_id").orderBy("idx")))
+
+
+def expression_bulk(samples: DataFrame, program: str, size: int, a: float = 1.0, b: float = 0.0, c: float = 0.0) -> DataFrame:
+    """A vector program over chunks of a stated size (the last one may be shorter): its result never depends on how a run cuts the stream."""
+    from sampleweave.functions.expressions import vector_program
+
+    kind = dict(samples.dtypes)["stream_id"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        return pd.DataFrame({"stream_id": pdf["stream_id"], "idx": pdf["idx"], "value": vector_program(program, pdf["value"].to_numpy(float), a, b, c)})
+
+    return samples.select("stream_id", "idx", "value").groupBy("stream_id", F.expr(f"idx div {size}")).applyInPandas(run, f"stream_id {kind}, idx long, value double")
+
+
+def uncertain_iir(samples: DataFrame, b: Sequence[float], a: Sequence[float], length: int = 256) -> DataFrame:
+    """A filter over values with uncertainties (value struct): variances pass through the squares of the first `length` terms of its impulse response."""
+    from sampleweave.operators.window import fir
+
+    response = Recursion(b, a).run(np.eye(1, length)[0])[0] if len(a) > 1 else np.asarray(b, float)
+    value = iir(samples.select("stream_id", "idx", F.col("value.value").alias("value")), b, a).withColumnRenamed("value", "_v")
+    spread = fir(samples.select("stream_id", "idx", (F.col("value.uncertainty") * F.col("value.uncertainty")).alias("value")), (response**2).tolist()).withColumnRenamed("value", "_u")
+    return value.join(spread, ["stream_id", "idx"]).select("stream_id", "idx", F.struct(F.col("_v").alias("value"), F.sqrt("_u").alias("uncertainty")).alias("value"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sampleweave.functions import cplx, scalars, uncertain
 from sampleweave.functions import tags as tag_functions
-from sampleweave.operators import align, design, elementwise, estimators, frequency, power, recursive, select, spectral, timing, trigger, window
+from sampleweave.model import with_index
+from sampleweave.operators import align, dataset, design, elementwise, estimators, frequency, power, recursive, select, spectral, timing, trigger, window
 from sampleweave.plans.graph import Graph
 from sampleweave.plans.registry import STREAM, query, r6, rounded
 from sampleweave.plans.sources_of_queries import datasets, indexed, signal, tags
@@ -136,7 +137,7 @@ def savitzky_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(window.savitzky_golay(signal(spark, sf_dir), 5, 2), "value")
 
 
-@query(STREAM + ", f AS (SELECT i AS k, i / 50.0 AS f FROM range(25) t(i)) SELECT k, round(abs(cos(pi() * f)), 6) + 0.0 AS magnitude FROM f")
+@query("WITH f AS (SELECT i AS k, i / 50.0 AS f FROM range(25) t(i)) SELECT k, round(abs(cos(pi() * f)), 6) + 0.0 AS magnitude FROM f")
 def frequency_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.range(25).select(F.col("id").alias("k"), (F.col("id") / F.lit(50.0)).alias("f"))
     return rows.select("k", r6(design.response_columns(((0.5, 0.5), (1.0,)), F.col("f"))["magnitude"], "magnitude"))
@@ -185,6 +186,38 @@ def graph_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.run(spark, rest.name), "value")
 
 
+@query(STREAM + " SELECT event_id, stream_id, idx FROM s")
+def bucketed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of every event in its stream, with days sorted apart."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    return with_index(events, "user_id", ["ts", "event_id"], F.to_date("ts")).select("event_id", "stream_id", "idx")
+
+
+@query(STREAM + " SELECT stream_id, idx, round(2 * value + 1, 6) + 0.0 AS value FROM s")
+def expression_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recursive.expression_bulk(signal(spark, sf_dir), "t := a * vecIn; vecOut := t + 1;", 1 << 16, 2.0), "value")
+
+
+@query(STREAM + " SELECT stream_id AS ds, round(min(value), 6) + 0.0 AS minimum, round(max(value), 6) + 0.0 AS maximum, count(*) AS n FROM s GROUP BY stream_id")
+def dataset_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data sets as rows of arrays, with the range of each."""
+    sets = dataset.with_range(dataset.nested(datasets(spark, sf_dir)))
+    return sets.select("ds", r6("range.min", "minimum"), r6("range.max", "maximum"), F.size("values").cast("long").alias("n"))
+
+
+@query()
+def dataset_symmetric_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = dataset.symmetric_filtered(dataset.nested(datasets(spark, sf_dir)), *design.iir_design("LOWPASS", 2, 0.1))
+    return rounded(dataset.unnested(sets), "y")
+
+
+@query()
+def uncertain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signal(spark, sf_dir).select("stream_id", "idx", F.struct("value", F.lit(1.0).alias("uncertainty")).alias("value"))
+    made = recursive.uncertain_iir(rows, *design.iir_design("LOWPASS", 2, 0.1), length=16)
+    return made.select("stream_id", "idx", r6("value.value", "value"), r6("value.uncertainty", "uncertainty"))
+
+
 @query()
 def trigger_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges that start behind a run of views and end behind one of clicks."""
