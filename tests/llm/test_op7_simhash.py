@@ -106,3 +106,43 @@ def test_query(spark, tmp_path):
     assert got == sorted(want, key=str)
     assert len({c for *_, c in got}) < len(got) / 2
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_least_neighbours():
+    draw = np.random.default_rng(9)
+    values = draw.integers(0, 1 << 12, 400).astype(np.uint64)
+    reps, home = draw.permutation(400).astype(np.int64), draw.random(400) < 0.6
+    got = simhash.least_neighbours(values, reps, home, 1)
+    for i in range(400):
+        near = [r for v, r, h in zip(values, reps, home) if (int(v) ^ int(values[i])).bit_count() <= 1 and (h or home[i])]
+        assert got[i] == min([*near, *([reps[i]] if home[i] else [])], default=np.iinfo(np.int64).max)
+
+
+def test_similar_texts(spark):
+    """Recall by similarity of all shingles, against brute force; texts that share little stay apart."""
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts, base = [], []
+    for g in range(60):
+        text = [draw.choice(words) for _ in range(draw.choice([60, 150, 400]))]
+        for k in range(4):
+            edited = list(text)
+            for _ in range(k * len(text) // 120):
+                edited[draw.randrange(len(text))] = draw.choice(words)
+            texts.append(" ".join(edited))
+            base.append(g)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, ""), (1001, None), (None, texts[0]), (1002, texts[0])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    found = {0.9: [], 0.8: []}
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if j < 0.3:
+                assert got[a] != got[b]
+            for limit in found:
+                if j >= limit:
+                    found[limit].append(got[a] == got[b])
+    assert np.mean(found[0.9]) > 0.97 and np.mean(found[0.8]) > 0.85
+    assert got[1000] == got[1001] == 1000 and got[1002] == got[None] == got[0]
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
