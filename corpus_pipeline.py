@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sampleweave.llm import packing, secrets, shared, simhash, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Shingles of five words; fingerprints of texts with a similarity of 0.8 or more seldom differ in more bits.
-SHINGLE, REACH = 5, 3
+#: Shingles of five words, of which near-duplicates share 0.8 or more.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document with the smallest doc_id; documents without one stay, too."""
-    groups = shared.written(simhash.near_duplicates(docs, SHINGLE, REACH), "groups")
+    groups = shared.written(simhash.similar(docs, SHINGLE, SIMILARITY), "groups")
     lost = groups.filter("component_id is not null and doc_id <> component_id").select("doc_id")
     return docs.select(*COLUMNS).join(lost, "doc_id", "left_anti").select(*COLUMNS)
 
