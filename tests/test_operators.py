@@ -41,13 +41,13 @@ def test_stride_counts(spark, size, every, n):
 
 
 def fixture_tags(spark):
-    rows = [(2, "CMD_NONE", ""), *((i, "CMD_DIAG_TRIGGER1", "") for i in (4, 8, 12, 22)), *((i, "CMD_BP_START", "FAIR.SELECTOR.C=1:S=1:P=1") for i in (5, 15)), *((i, "CMD_BP_START", "FAIR.SELECTOR.C=1:S=1:P=2") for i in (10, 20))]
+    rows = [(2, "CMD_NONE", ""), *((i, "CMD_DIAG_TRIGGER1", "") for i in (4, 8, 12, 22)), *((i, "CMD_BP_START", "SELECT.C=1:S=1:P=1") for i in (5, 15)), *((i, "CMD_BP_START", "SELECT.C=1:S=1:P=2") for i in (10, 20))]
     return spark.createDataFrame([("s", i, n, c, 0) for i, n, c in rows], "stream_id string, idx long, name string, context string, seq int")
 
 
 @pytest.mark.parametrize("rule, pre, post, want", [
-    ("[CMD_BP_START/FAIR.SELECTOR.C=1:S=1:P=1, CMD_BP_START/FAIR.SELECTOR.C=1:S=1:P=2]", 0, 0, [*range(5, 10), *range(15, 20)]),
-    ("[CMD_BP_START/FAIR.SELECTOR.C=1:S=1:P=1, CMD_BP_START/FAIR.SELECTOR.C=1:S=1:P=2]", 2, 2, [*range(3, 12), *range(13, 22)]),
+    ("[CMD_BP_START/SELECT.C=1:S=1:P=1, CMD_BP_START/SELECT.C=1:S=1:P=2]", 0, 0, [*range(5, 10), *range(15, 20)]),
+    ("[CMD_BP_START/SELECT.C=1:S=1:P=1, CMD_BP_START/SELECT.C=1:S=1:P=2]", 2, 2, [*range(3, 12), *range(13, 22)]),
     ("CMD_DIAG_TRIGGER1", 2, 2, [*range(2, 14), *range(20, 24)]),
 ])
 def test_ranges(spark, rule, pre, post, want):
