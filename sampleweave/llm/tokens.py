@@ -60,19 +60,20 @@ def id_bytes(ids) -> bytes:
     return array("I", ids).tobytes()
 
 
-class Cache(dict):
-    """A bounded dict from a piece of text to the bytes of its ids, in two generations: what is used again outlives the older half.
+class Cache:
+    """Bounded pieces of text to the bytes of their ids, in two generations: what is used again outlives the older half.
 
     encode gets the pieces that are missing and returns them, and any others that it had to encode, with their ids.
     """
 
     def __init__(self, encode: Callable[[list[str]], dict[str, bytes]], most: int = CACHE):
-        super().__init__()
-        self.encode, self.most, self.older = encode, most, {}
+        self.encode, self.most = encode, most
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         gc.set_threshold(200_000, 20, 20)  # caches hold no cycles; looking through them often costs more than encoding
 
     def joined(self, pieces: list[str]) -> bytes:
-        found = list(map(self.get, pieces))
+        found = list(map(self.held.get, pieces))
         holes, at = [], -1
         try:
             while True:
@@ -82,32 +83,44 @@ class Cache(dict):
             pass
         if holes:
             self.learn({pieces[i] for i in holes})
+            held = self.held
             for i in holes:
-                found[i] = self[pieces[i]]
+                found[i] = held[pieces[i]]
         return b"".join(found)
 
     def of(self, piece: str) -> bytes | None:
-        found = self.get(piece)
+        found = self.held.get(piece)
         return self.older.get(piece) if found is None else found
 
     def learn(self, missing: set[str]) -> None:
         again = {x: ids for x in missing if (ids := self.older.get(x)) is not None}
         if len(again) < len(missing):
             again |= self.encode([x for x in missing if x not in again])
-        if len(self) + len(again) > self.most:
-            self.older = dict(self)
-            self.clear()
-        self.update(again)
-
-
-def looked_up(cache: Cache, chunks: list[str], split: list[list[str]], encode: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-    """The ids of chunks that are split into words of the same cache, and of the words that it did not hold."""
-    known = {w: cache.of(w) for ws in split for w in ws}
-    new = [w for w, ids in known.items() if ids is None]
-    made = dict(zip(new, encode(new), strict=True))
+        if len(self.held) + len(again) > self.most:
+            self.older, self.held = self.held, {}
+        self.held.update(again)
+
+
+def looked_up(cache: Cache, chunks: list[str], split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+    """The ids of chunks that are words or are split into words of the same cache, and of the words that it did not hold."""
+    new = {x: None for x in chunks if x.isalpha()}
+    parts, known = [], {}
+    for x in chunks:
+        if x not in new:
+            words = split(x)
+            parts.append((x, words))
+            for w in words:
+                if w not in new and w not in known:
+                    ids = cache.of(w)
+                    if ids is None:
+                        new[w] = None
+                    else:
+                        known[w] = ids
+    words = list(new)
+    made = dict(zip(words, encode(words), strict=True))
     known |= made
-    for chunk, ws in zip(chunks, split, strict=True):
-        made[chunk] = known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws))
+    for x, words in parts:
+        made[x] = b"".join(map(known.__getitem__, words))
     return made
 
 
@@ -140,8 +153,7 @@ class WordText:
         self.chunks = Cache(self._chunks)
 
     def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        split = [[x] if x.isalpha() else [x[:-1], x[-1]] if x[-1] in ".,;:" and x[:-1].isalpha() else self.find(x) for x in chunks]
-        return looked_up(self.chunks, chunks, split, self.encode)
+        return looked_up(self.chunks, chunks, lambda x: [x[:-1], x[-1]] if x[-1] in ".,;:" and x[:-1].isalpha() else self.find(x), self.encode)
 
     def _plain(self, text: str) -> bytes:
         if newer(text):
@@ -185,21 +197,33 @@ class ByteText:
 
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.encode = by_library(self.tokenizer)
-        self.words = Cache(lambda words: dict(zip(words, self.encode(words), strict=True)), CACHE // 4)
-        self.later = Cache(self._later)
+        self.words = Cache(lambda words: dict(zip(words, self.encode(words), strict=True)), CACHE // 8)
+        self.later = Cache(self._later, CACHE + CACHE // 4)
 
     def _later(self, chunks: list[str]) -> dict[str, bytes]:
         """Chunks that follow a space; their first words are kept without it, the others by themselves in words."""
         if any(not x or x[0].isspace() or x[-1].isspace() for x in chunks):
             raise NotAlone
-        split = [[f" {x}"] if x.isalpha() else [f" {x[:-1]}", x[-1]] if x[-1] in ".,;:" and x[:-1].isalpha() else self.find(f" {x}") for x in chunks]
-        heads = {ws[0][1:] for ws in split}
-        known = {w: self.later.of(w) for w in heads if w}
-        new = [w for w, ids in known.items() if ids is None]
-        made = dict(zip(new, self.encode([f" {w}" for w in new]), strict=True))
+        new = {x: None for x in chunks if x.isalpha()}
+        parts, known = [], {}
+        for x in chunks:
+            if x not in new:
+                head, *rest = [f" {x[:-1]}", x[-1]] if x[-1] in ".,;:" and x[:-1].isalpha() else self.find(f" {x}")
+                head = head[1:]
+                parts.append((x, head, rest))
+                if head not in new and head not in known:
+                    ids = self.later.of(head)
+                    if ids is None:
+                        new[head] = None
+                    else:
+                        known[head] = ids
+        words = list(new)
+        made = dict(zip(words, self.encode([f" {w}" for w in words]), strict=True))
         known |= made
-        for chunk, ws in zip(chunks, split, strict=True):
-            made[chunk] = known[ws[0][1:]] + self.words.joined(ws[1:])
+        tail = self.words.of
+        for x, head, rest in parts:
+            ids = tail(rest[0]) if len(rest) == 1 else None
+            made[x] = known[head] + (self.words.joined(rest) if ids is None else ids)
         return made
 
     def _plain(self, text: str) -> bytes:
