@@ -34,8 +34,8 @@ from sampleweave.llm.shared import file_system, new_path, own_columns, written
 MAGIC = b"SWRANS01"
 SCALE = 20  #: bits of the sum of all frequencies: no vocabulary may have more ids than 2**SCALE
 LOW = 1 << 31  #: least state; the states' words are 32 bits
-BLOCK = 1 << 18
-LANES = 1024
+BLOCK = 1 << 20
+LANES = 4096
 CHECKPOINT = 128
 FILE_IDS = 1 << 24  #: a file ends with the document that reaches so many ids
 HEAD = struct.Struct("<6I")
