@@ -15,6 +15,8 @@ from sampleweave.llm import packing, secrets, shared, simhash, toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Shingles of five words, of which near-duplicates share 0.8 or more.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Most ids that are sent to every executor (16 bytes each) in place of a shuffle of whole texts.
+BROADCAST = 1 << 21
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document with the smallest doc_id; documents without one stay, too."""
     groups = shared.written(simhash.similar(docs, SHINGLE, SIMILARITY), "groups")
-    lost = groups.filter("component_id is not null and doc_id <> component_id").select("doc_id")
+    lost = shared.written(groups.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "lost")
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST else lost  # beyond it both sides are shuffled
     return docs.select(*COLUMNS).join(lost, "doc_id", "left_anti").select(*COLUMNS)
 
 
