@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sampleweave.llm.shared import own_columns
+from sampleweave.llm.shared import at_work, own_columns
 from sampleweave.llm.tokens import WordText, byte_letters
 
 #: Most pairs of tokens whose compatibility is remembered.
@@ -178,6 +178,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Each document's ids (little-endian unsigned 32-bit integers) and the text that they decode to: doc_id, ids, decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("bpe", word_text.cache_clear)
         text, own = word_text(vocabulary_path), vocabulary(vocabulary_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

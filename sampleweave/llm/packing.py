@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sampleweave.llm import tokens
-from sampleweave.llm.shared import own_columns
+from sampleweave.llm.shared import at_work, own_columns
 
 CAPACITY = 1024
 GROUP = 512  #: documents of a group, about
@@ -96,6 +96,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAP
     """Pieces of documents in sequences: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("byte text", tokens.byte_text.cache_clear)
         text, packed, end = tokens.byte_text(vocabulary_path), zstandard.ZstdCompressor(level=1), tokens.id_bytes([end_id])
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

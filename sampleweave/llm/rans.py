@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sampleweave.llm import tokens
-from sampleweave.llm.shared import file_system, new_path, own_columns, written
+from sampleweave.llm.shared import at_work, file_system, new_path, own_columns, written
 
 MAGIC = b"SWRANS01"
 SCALE = 20  #: bits of the sum of all frequencies: no vocabulary may have more ids than 2**SCALE
@@ -222,6 +222,7 @@ def tokenised(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
     """Every document's ids with the end id, zstd over little-endian 32-bit ids' low halves (whole ids where a vocabulary needs them): a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("library words", tokens.library_words.cache_clear)
         text, packed = tokens.library_words(vocabulary_path), zstandard.ZstdCompressor(level=1)
         end = tokens.id_bytes([end_id])
         for whole in batches:
@@ -247,6 +248,7 @@ def counted(ids: DataFrame, wide: int) -> Table:
     """The frequency table of all ids. Each task sends a row for each different id; the driver gets one row for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("rans")
         total = np.zeros(1 << 16, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,19 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: What holds memory in this Python worker between tasks: the operator that ran last and what it can let go.
+HOLDING: dict[str, list[Callable[[], None]]] = {}
+
+
+def at_work(name: str, *release: Callable[[], None]) -> None:
+    """Called where an operator's tasks begin: what other operators left in this worker is let go. Workers live on from
+    stage to stage; an operator's own caches serve its next task."""
+    for other in [x for x in HOLDING if x != name]:
+        for let_go in HOLDING.pop(other):
+            let_go()
+    HOLDING[name] = list(release)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns of the given names; extra ones, whatever their names, are dropped before anything is added."""
     return df.select(*names)

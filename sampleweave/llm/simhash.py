@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampleweave.llm.shared import components, own_columns, written
+from sampleweave.llm.shared import at_work, components, own_columns, written
 
 SEED = 42
 SAMPLE = 1 << 16  #: most fingerprints on which the top of the tree is fitted
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     """doc_id, fingerprint (a signed long of the 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("simhash")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -244,6 +245,7 @@ def long_fingerprints(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     """doc_id, fingerprint (an array of WORDS longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("simhash")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleweave.llm.shared import own_columns, written
+from sampleweave.llm.shared import at_work, own_columns, written
 
 BITS = 20  #: hashed features: 2**BITS, so a broadcast model has at most 12 bytes x 2**20
 SAMPLE = 8000  #: most labelled documents that are learned from
@@ -59,6 +59,11 @@ class Chunks(dict):
 CHUNKS, HASHES = Chunks(), Hashes()
 
 
+def forget() -> None:
+    CHUNKS.clear()
+    HASHES.clear()
+
+
 def features(text: str | None) -> np.ndarray:
     """The document's different features, ascending."""
     words = " ".join(map(CHUNKS.__getitem__, (text or "").lower().split())).split()
@@ -124,6 +129,7 @@ def fitted(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("toxicity", forget)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
@@ -158,6 +164,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with its own columns and toxicity, a score from 0 to 1 of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("toxicity", forget)
         dense = model.dense()
         for whole in batches:
             text = whole.schema.get_field_index("text")
