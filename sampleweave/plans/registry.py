@@ -373,7 +373,7 @@ def dataset_gauss_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     DS
-    + """, a AS (SELECT ds, x, y FROM d WHERE idx % 2 = 0), b AS (SELECT ds, x + 0.5 AS x, 2 * y AS y, lead(x + 0.5) OVER w AS x1, lead(2 * y) OVER w AS y1, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY ds ORDER BY idx)),
+    + """, a AS (SELECT ds, x, y FROM d), b AS (SELECT ds, x + 0.5 AS x, 2 * y AS y, lead(x + 0.5) OVER w AS x1, lead(2 * y) OVER w AS y1, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY ds ORDER BY idx)),
 f AS (SELECT ds, y FROM b WHERE k = 1),
 j AS (SELECT a.ds, a.x, a.y, b.x AS bx, b.y AS by0, b.x1, b.y1 FROM a ASOF LEFT JOIN b ON a.ds = b.ds AND a.x >= b.x)
 SELECT j.ds, j.x, round(j.y + CASE WHEN bx IS NULL THEN f.y WHEN x1 IS NULL OR bx = j.x THEN by0 ELSE by0 + (y1 - by0) * (j.x - bx) / (x1 - bx) END, 6) + 0.0 AS y FROM j JOIN f USING (ds)"""
@@ -381,7 +381,7 @@ SELECT j.ds, j.x, round(j.y + CASE WHEN bx IS NULL THEN f.y WHEN x1 IS NULL OR b
 def dataset_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two data sets on different axes, the second interpolated."""
     d = datasets(spark, sf_dir)
-    a = d.filter("idx % 2 = 0").select("ds", "x", "y")
+    a = d.select("ds", "x", "y")
     b = d.select("ds", (F.col("x") + 0.5).alias("x"), (2 * F.col("y")).alias("y"))
     return rounded(align.dataset_operation(a, b, "ADD"), "y")
 
