@@ -6,10 +6,14 @@ names in ``spark.checkpoint.dir``, never blocks or files of one machine.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +75,16 @@ HOLDING: dict[str, list[Callable[[], None]]] = {}
 def at_work(name: str, *release: Callable[[], None]) -> None:
     """Called where an operator's tasks begin: what other operators left in this worker is let go. Workers live on from
     stage to stage; an operator's own caches serve its next task."""
-    for other in [x for x in HOLDING if x != name]:
+    others = [x for x in HOLDING if x != name]
+    for other in others:
         for let_go in HOLDING.pop(other):
             let_go()
     HOLDING[name] = list(release)
+    if others:
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:

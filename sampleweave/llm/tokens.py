@@ -198,7 +198,7 @@ class ByteText:
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.encode = by_library(self.tokenizer)
         self.words = Cache(lambda words: dict(zip(words, self.encode(words), strict=True)), CACHE // 8)
-        self.later = Cache(self._later)
+        self.later = Cache(self._later, CACHE * 3 // 4)
 
     def _later(self, chunks: list[str]) -> dict[str, bytes]:
         """Chunks that follow a space; their first words are kept without it, the others by themselves in words."""

@@ -30,7 +30,7 @@ SAMPLE = 8000  #: most labelled documents that are learned from
 FEATURES = 1 << 25  #: most features over all of them
 EPOCHS = 3
 THRESHOLD = 0.3
-CACHE = 200_000  #: most chunks, and most words, that are remembered
+CACHE = 150_000  #: most chunks, and most words, that are remembered
 
 LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 PAIR, SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
