@@ -39,6 +39,7 @@ RUN = 1 << 17  #: shingles whose bits are counted at once
 WORDS = 16  #: 64-bit words of a long fingerprint; it has twice as many parts
 PART_SAMPLE = 1 << 14  #: most long fingerprints on which the tops of the parts' trees are fitted
 PART_SHARD = 1 << 15  #: rows of a part's shard, about
+PAIRS = 1 << 19  #: pairs of rows whose whole fingerprints are compared at once
 STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -284,8 +285,79 @@ def least_neighbours(values: np.ndarray, reps: np.ndarray, home: np.ndarray, rea
     return np.where(home, of_all[of], of_homes[of])
 
 
-def part_links(prints: DataFrame, reach: int = 1) -> DataFrame:
-    """Candidate pairs (a, b): each representative with the smallest one that is within reach of it in some part."""
+def met(values: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
+    """Of each row, whether another row lies within reach of it: homes meet all rows, visitors the homes."""
+    distinct, of = np.unique(values, return_inverse=True)
+    rows, home_rows = np.bincount(of, minlength=len(distinct)), np.bincount(of[home], minlength=len(distinct))
+    homes = np.flatnonzero(home_rows)
+    of_homes, of_all = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    leaves: list[Node] = []
+    tree = grown(distinct[homes], LEAF, reach, np.random.default_rng(0), leaves, keep=True)
+    for node, places, _ in routed(tree, distinct, reach, homes=False):
+        held = homes[node.held]
+        for at in range(0, len(places), 2048):
+            some = places[at : at + 2048]
+            near = np.bitwise_count(distinct[some][:, None] ^ distinct[held][None, :]) <= reach
+            of_homes[some] += np.where(near, home_rows[held][None, :], 0).sum(axis=1)
+            of_all[held] += np.where(near, rows[some][:, None], 0).sum(axis=0)
+    return np.where(home, of_all[of] > 1, of_homes[of] > 0)
+
+
+def near_forest(values: np.ndarray, prints: np.ndarray, home: np.ndarray, reach: int, bits: int) -> np.ndarray:
+    """For each row the first row that pairs connect it with: pairs of a home and any row within reach by value and within bits by whole fingerprint.
+
+    Rows meet their first neighbour at once, which joins most copies; then all pairs of rows follow that are not joined yet.
+    No pair is left out but those whose rows are connected already.
+    """
+    label = np.arange(len(values))
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        apart = np.zeros(len(i), np.int64)
+        for w in range(prints.shape[1]):
+            apart += np.bitwise_count(prints[i, w] ^ prints[j, w])
+        label = settled(joined(label, i[apart <= bits], j[apart <= bits]))
+
+    least = least_neighbours(values, label.copy(), home, reach)
+    some = np.flatnonzero(least < label)
+    join(some, least[some])
+    distinct, of = np.unique(values, return_inverse=True)
+    order, count = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(distinct))
+    start = np.cumsum(count) - count
+    has_home = np.bincount(of[home], minlength=len(distinct)) > 0
+    homes = np.flatnonzero(has_home)
+    leaves: list[Node] = []
+    tree = grown(distinct[homes], LEAF, reach, np.random.default_rng(0), leaves, keep=True)
+    for node, places, _ in routed(tree, distinct, reach, homes=False):
+        held = homes[node.held]
+        low, high = np.minimum.reduceat(label[order], start), np.maximum.reduceat(label[order], start)
+        for at in range(0, len(places), 2048):
+            some = places[at : at + 2048]
+            u, v = np.nonzero(np.bitwise_count(distinct[some][:, None] ^ distinct[held][None, :]) <= reach)
+            u, v = some[u], held[v]
+            open_ = ((u <= v) | ~has_home[u]) & (np.minimum(low[u], low[v]) != np.maximum(high[u], high[v]))
+            u, v = u[open_], v[open_]
+            i = order[np.repeat(start[u] - (np.cumsum(count[u]) - count[u]), count[u]) + np.arange(count[u].sum())]
+            v = np.repeat(v, count[u])
+            cut = np.cumsum(count[v]) // PAIRS
+            for c in np.unique(cut):
+                a, b = i[cut == c], v[cut == c]
+                low_now, high_now = np.minimum.reduceat(label[order], start), np.maximum.reduceat(label[order], start)
+                still = (low_now[b] != label[a]) | (high_now[b] != label[a])
+                a, b = a[still], b[still]
+                j = order[np.repeat(start[b] - (np.cumsum(count[b]) - count[b]), count[b]) + np.arange(count[b].sum())]
+                a = np.repeat(a, count[b])
+                fresh = (label[a] != label[j]) & (home[a] | home[j])
+                join(a[fresh], j[fresh])
+    return label
+
+
+def part_links(prints: DataFrame, bits: int, reach: int = 1) -> DataFrame:
+    """Edges (a, b) that connect all representatives that are within reach in some part and within bits by their whole fingerprints.
+
+    A first search, of parts alone, says which rows meet any other in a part; only those rows carry their fingerprints to
+    the shards of that part, where a second search goes through their pairs. A shard gives a forest of what it linked.
+    """
     total = prints.count()
     share = int(min(1.0, PART_SAMPLE / max(1, total)) * (1 << 20))
     chosen = prints.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share).select("rep", "fingerprint").limit(PART_SAMPLE).toArrow().sort_by("rep")
@@ -304,15 +376,35 @@ def part_links(prints: DataFrame, reach: int = 1) -> DataFrame:
                     n = len(places)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first[p] + node.leaf, np.int32)), pa.array(parts[places, p].astype(np.uint32).view(np.int32)), pa.array(rep[places]), pa.array(np.full(n, home))], ["shard", "part", "rep", "home"])
 
-    def search(rows: pa.Table) -> pa.Table:
+    def meet(rows: pa.Table) -> pa.Table:
         values, rep = rows["part"].to_numpy().view(np.uint32).astype(np.uint64), rows["rep"].to_numpy()
         home = rows["home"].to_numpy(zero_copy_only=False).astype(bool)
-        found = least_neighbours(values, rep, home, reach) if home.any() else rep
-        some = np.flatnonzero(found < rep)
-        return pa.table({"a": pa.array(rep[some], pa.int64()), "b": pa.array(found[some], pa.int64())})
+        some = np.flatnonzero(met(values, home, reach)) if home.any() else np.empty(0, np.int64)
+        p = np.searchsorted(first, rows["shard"][0].as_py(), "right") - 1
+        return pa.table({"p": pa.array(np.full(len(some), p, np.int32)), "rep": pa.array(rep[some], pa.int64())})
+
+    def route_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, parts = batch.column(0).to_numpy(), parts_of(batch.column(2))
+            for p in np.unique(of).tolist():
+                rows = np.flatnonzero(of == p)
+                for node, places, home in routed(trees[p], parts[rows, p], reach):
+                    n, own = len(places), batch.take(pa.array(rows[places]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first[p] + node.leaf, np.int32)), own.column(1), own.column(2), pa.array(np.full(n, home))], ["shard", "rep", "fingerprint", "home"])
+
+    def search(rows: pa.Table) -> pa.Table:
+        rep, prints = rows["rep"].to_numpy(), rows["fingerprint"].combine_chunks()
+        home = rows["home"].to_numpy(zero_copy_only=False).astype(bool)
+        p = np.searchsorted(first, rows["shard"][0].as_py(), "right") - 1
+        label = near_forest(parts_of(prints)[:, p], prints.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS), home, reach, bits) if home.any() else np.arange(len(rep))
+        some = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(rep[some], pa.int64()), "b": pa.array(rep[label[some]], pa.int64())})
 
     routed_rows = prints.select("rep", "fingerprint").mapInArrow(route, "shard int, part int, rep long, home boolean")
-    return routed_rows.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+    meeting = written(routed_rows.groupBy("shard").applyInArrow(meet, "p int, rep long").distinct(), "meeting")
+    carried = meeting.join(prints.select("rep", "fingerprint"), "rep").select("p", "rep", "fingerprint")
+    again = carried.mapInArrow(route_part, "shard int, rep long, fingerprint array<long>, home boolean")
+    return again.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
 def bits_apart(similarity: float) -> int:
@@ -329,10 +421,7 @@ def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8
     made = written(long_fingerprints(docs, words_per_shingle), "fingerprints")
     distinct = written(made.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "distinct")
     usable = distinct.filter("rep is not null")
-    pairs = written(part_links(usable), "pairs")
-    both = pairs.join(usable.select(F.col("rep").alias("a"), F.col("fingerprint").alias("x")), "a").join(usable.select(F.col("rep").alias("b"), F.col("fingerprint").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    found = components(both.filter(apart <= bits_apart(similarity)).select("a", "b"))
+    found = components(written(part_links(usable, bits_apart(similarity)), "pairs"))
     known = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     return made.join(written(known, "known"), "fingerprint").select("doc_id", "component_id")
 

@@ -118,6 +118,41 @@ def test_least_neighbours():
         assert got[i] == min([*near, *([reps[i]] if home[i] else [])], default=np.iinfo(np.int64).max)
 
 
+def test_met_and_forest():
+    """All pairs within reach by value and near by whole fingerprint count, whatever other rows share the value."""
+    draw = np.random.default_rng(12)
+    prints = np.repeat(draw.integers(0, 1 << 63, (60, simhash.WORDS)).astype(np.uint64), 8, axis=0)
+    for row in prints:
+        for bit in draw.integers(0, 1024, draw.integers(0, 60)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    values, home = draw.integers(0, 1 << 9, len(prints)).astype(np.uint64), draw.random(len(prints)) < 0.6
+    near = (np.bitwise_count(values[:, None] ^ values) <= 1) & (home[:, None] | home) & ~np.eye(len(prints), dtype=bool)
+    assert (simhash.met(values, home, 1) == near.any(axis=1)).all()
+    near &= np.bitwise_count(prints[:, None] ^ prints).sum(axis=2) <= 60
+    want = brute_components(range(len(prints)), zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    for pairs in (1 << 19, 7):
+        simhash.PAIRS, before = pairs, simhash.PAIRS
+        got = simhash.near_forest(values, prints, home, 1, 60)
+        simhash.PAIRS = before
+        assert dict(enumerate(got.tolist())) == want
+
+
+def test_similar_within_template(spark):
+    """Edited copies (0.9) among thousands of texts that share a passage (0.5 to 0.6): each part holds many other neighbours."""
+    draw = random.Random(13)
+    passage = [f"p{i}" for i in range(230)]
+    texts = [passage + [f"w{draw.randrange(10**6)}" for _ in range(70)] for _ in range(3000)]
+    for text in texts[-120:]:  # the last ids, so that other neighbours of a part come before the twin
+        edited = list(text)
+        for at in draw.sample(range(20, 200), 2):
+            edited[at] = f"e{draw.randrange(10**6)}"
+        texts.append(edited)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert np.mean([got[3000 + k] == got[2880 + k] for k in range(120)]) > 0.97
+    assert np.mean([got[i] == i for i in range(2880)]) > 0.99
+
+
 def test_similar_texts(spark):
     """Recall by similarity of all shingles, against brute force; texts that share little stay apart."""
     draw = random.Random(11)
