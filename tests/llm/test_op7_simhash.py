@@ -181,3 +181,36 @@ def test_similar_texts(spark):
     assert np.mean(found[0.9]) > 0.97 and np.mean(found[0.8]) > 0.85
     assert got[1000] == got[1001] == 1000 and got[1002] == got[None] == got[0]
     assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 10, 3])
+def test_similar_is_exact(spark, monkeypatch, block):
+    """Pairs on both sides of 0.8, by their shares of shingles: those below stay apart, and of those above nearly all that a part can find are joined."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    draw = random.Random(14)
+    texts, shares = [], []
+    for g in range(240):
+        text = [f"g{g}x{i}" for i in range(300)]
+        edited = text[: -draw.choice([24, 28, 38, 42])] + [f"g{g}y{i}" for i in range(30)]
+        a, b = (set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in (text, edited))
+        shares.append(len(a & b) / len(a | b))
+        texts += [" ".join(text), " ".join(edited)]
+    if block < 10:  # one large component of copies that differ by a word or two
+        base = [f"z{i}" for i in range(300)]
+        texts += [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(0, 300, 15)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    joined = np.array([got[2 * g] == got[2 * g + 1] for g in range(240)])
+    shares = np.array(shares)
+    assert 60 < (shares >= 0.8).sum() < 180
+    assert not joined[shares < 0.8].any() and joined[shares >= 0.8].mean() > 0.6
+    assert all(got[i] == 480 for i in range(480, len(texts)))
+
+
+def test_exact_forest():
+    draw = np.random.default_rng(15)
+    sets = [np.sort(draw.permutation(40)[: draw.integers(15, 40)]) for _ in range(120)] + [np.empty(0, np.int64)]
+    block, prints = (np.arange(121) % 2), np.zeros((121, simhash.WORDS), np.uint64)
+    for own in (block, block * 0):
+        pairs = [(i, j) for i in range(120) for j in range(i) if (own is not block or block[i] != block[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        got = simhash.exact_forest(prints, sets, own, 0, 0.8)
+        assert len(pairs) > 20 and dict(enumerate(got.tolist())) == brute_components(range(121), pairs)
