@@ -230,8 +230,8 @@ def links(prints: DataFrame, reach: int) -> DataFrame:
 
 
 def long_fingerprint(text: str | None, words_per_shingle: int) -> np.ndarray:
-    """The SimHash of WORDS x 64 bits: a shingle's hash is spread over them by mixing it with each word's number."""
-    hashes = shingle_hashes(text, words_per_shingle)
+    """The SimHash of WORDS x 64 bits over the different shingles, each once: a shingle's hash is spread over them by mixing it with each word's number."""
+    hashes = np.unique(shingle_hashes(text, words_per_shingle))
     if not len(hashes):
         return np.zeros(WORDS, np.int64)
     ones = np.zeros(64 * WORDS, np.int64)

@@ -214,3 +214,12 @@ def test_exact_forest():
         pairs = [(i, j) for i in range(120) for j in range(i) if (own is not block or block[i] != block[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
         got = simhash.exact_forest(prints, sets, own, 0, 0.8)
         assert len(pairs) > 20 and dict(enumerate(got.tolist())) == brute_components(range(121), pairs)
+
+
+def test_repeated_lines():
+    """A line that two texts repeat weighs as little as the set of its shingles: different texts stay far apart, near copies near."""
+    line = " ".join(f"menu{i}" for i in range(10)) + " "
+    a, b = (" ".join(f"{k}{i}" for i in range(1000)) + " " for k in "ab")
+    apart = lambda x, y: np.bitwise_count(simhash.long_fingerprint(x, 5) ^ simhash.long_fingerprint(y, 5)).sum()
+    assert apart(a + line * 40, b + line * 40) > 400
+    assert apart(a + line * 40, a + line) < 60
