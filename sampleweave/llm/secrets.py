@@ -6,10 +6,14 @@ keeps the count of each character in the window and the sum of count x log2 coun
 changes one count and one term, and the window's entropy is log2(window) - sum / window. A candidate is a secret if some
 window reaches the limit and no allow-list pattern matches it.
 
-Positions count code points. They come from lengths alone: the pieces between matches and the matches, in turn.
+Positions count code points. They come from lengths alone: the pieces between matches and the matches, in turn. Running
+sums and extremes go by blocks, so that the work grows with the number of matches, not its square: a state that holds a
+growing array is copied at each step of an aggregate.
 
 Cases: a null or empty text has no span; rows repeat as they come; overlapping spans of different kinds all stay; an
-empty table gives no row; columns of any other names pass through scan untouched, but for the ones that it adds.
+empty table gives no row; a text may be one long run or hold any number of matches; a run of 20 to 23 characters with
+more than hexadecimal digits is shorter than its window and never a secret; columns of any other names pass through scan
+untouched, but for the one that it adds, which replaces one of the same name.
 """
 
 from __future__ import annotations
@@ -36,25 +40,54 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Candidates that are no secrets: UUIDs, samples, runs of one character, alphabets, paths, long numbers, words joined by hyphens or underscores.
 ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|placeholder|x{6}|(.)\2{7}|abcdefgh|0123456789|12345678|^/?([a-z_.-]+/)+[a-z_.-]*$|^[0-9=_+/-]+$|^[a-z]+([-_=+/][a-z]+)*$|^[a-z]+([-_][a-z0-9]{1,8}){3,}$"
 KINDS = [*BASE, *CLASSES]
+STEP = 256  #: elements of a block of a running sum
+FAR = (1 << 31) - 1
+CHUNK = 4096  #: characters of a piece of text: a place in a text is found from the start of its piece
 
 
-def placed(text: Column, pattern: str, group: int) -> tuple[Column, Column]:
-    """Of all matches: the spans (start, end, value: the group's text), and whether there are any. Matches are leftmost and do not overlap."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def spans(m: Column, gaps: Column, inner: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(m, i))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(inner, i).alias("value")))).alias("spans"))
+def running(values: Column, zero: int, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of integers what those before it combine to, from zero on: within blocks of STEP, from what the blocks before them come to."""
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["spans"])
+    def before(xs: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, state, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    return whole, F.struct(between.alias("gaps"), (values if values is not None else whole).alias("values")), spans
+    def cut(xs: Column) -> Column:
+        return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STEP).cast("int")), lambda b: F.slice(xs, b * STEP + 1, F.lit(STEP)))).otherwise(F.array().cast("array<array<int>>"))
+
+    def heads(blocks: Column) -> Column:
+        return before(F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(zero), combine)), F.lit(zero))
+
+    return let(values, lambda xs: let(cut(xs), lambda blocks: F.flatten(F.zip_with(blocks, heads(blocks), before))))
+
+
+def places(matches: Column, gaps: Column, values: Column) -> Column:
+    """The spans (start, end, value) of matches, from the pieces of text between them."""
+    sizes = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.length(m) + F.length(g))
+    starts = F.zip_with(running(sizes, 0, lambda a, b: a + b), F.slice(gaps, F.lit(1), F.size(matches)), lambda at, g: at + F.length(g))
+    ends = F.zip_with(starts, matches, lambda start, m: F.struct(start.alias("start"), (start + F.length(m)).alias("end")))
+    return F.zip_with(ends, values, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value")))
+
+
+def untouched(candidates: Column, base: Column) -> Column:
+    """The candidates (start, end, value; apart from each other) that no base span touches, from one sorted array of both."""
+    both = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(None).cast("string").alias("value"))),
+        F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"))),
+    ))
+
+    def kept(xs: Column) -> Column:
+        last_end = running(F.transform(xs, lambda x: F.when(x["value"].isNull(), x["end"]).otherwise(0)), 0, lambda a, b: F.greatest(a, b))
+        next_start = F.reverse(running(F.reverse(F.transform(xs, lambda x: F.when(x["value"].isNull(), x["start"]).otherwise(FAR))), FAR, lambda a, b: F.least(a, b)))
+        free = F.zip_with(xs, F.zip_with(last_end, next_start, lambda e, s: F.struct(e.alias("e"), s.alias("s"))), lambda x, n: F.when(x["value"].isNotNull() & (n["e"] <= x["start"]) & (n["s"] >= x["end"]), x))
+        return F.filter(free, lambda x: x.isNotNull())
+
+    return let(both, kept)
 
 
 def windowed(value: Column, alphabet: str, window: int) -> Column:
@@ -98,24 +131,28 @@ def scan(docs: DataFrame, column: str = "secrets", text: str = "text") -> DataFr
     Each pattern is looked for once; what follows a match (pieces, groups, places) is computed only for texts that have one.
     """
     own = docs.columns
-    found = docs.withColumn("_text", F.coalesce(text, F.lit("")))
+    mine = "_"  # no column of docs begins with it
+    while any(c.lower().startswith(mine) for c in own):
+        mine += "_"
+    found = docs.withColumn(f"{mine}text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    whole = F.col(f"{mine}text")
     patterns = BASE | {"candidate": (CANDIDATE, 0, 0)}
+    for kind, (pattern, *_) in patterns.items():
+        found = found.withColumn(f"{mine}{kind}", F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)))
     for kind, (pattern, group, _) in patterns.items():
-        whole, _, _ = placed(F.col("_text"), pattern, group)
-        found = found.withColumn(f"_{kind}", whole)
-    for kind, (pattern, group, _) in patterns.items():
-        _, rest, _ = placed(F.col("_text"), pattern, group)
-        found = found.withColumn(f"_{kind}_rest", F.when(F.size(f"_{kind}") > 0, rest))
-    for kind, (pattern, group, least) in patterns.items():
-        _, _, spans = placed(F.col("_text"), pattern, group)
-        made = spans(F.col(f"_{kind}"), F.col(f"_{kind}_rest.gaps"), F.col(f"_{kind}_rest.values"))
-        made = F.filter(made, long_enough(least))
-        empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-        found = found.withColumn(f"_{kind}_spans", F.when(F.size(f"_{kind}") > 0, made).otherwise(empty))
-    plain = [F.transform(f"_{kind}_spans", of_kind(kind)) for kind in BASE]
-    found = found.withColumn("_base", F.array_sort(F.concat(*plain)))
-    apart = F.filter("_candidate_spans", lambda c: (c["value"].rlike("[0-9]")) & (c["value"].rlike("[A-Za-z]")) & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & ~c["value"].rlike(ALLOWED))
-    found = found.withColumn("_apart", F.when(F.size("_candidate_spans") > 0, apart).otherwise(F.col("_candidate_spans")))
+        values = F.regexp_extract_all(whole, F.lit(pattern), F.lit(group)) if group else F.col(f"{mine}{kind}")
+        rest = F.struct(F.split(whole, pattern, -1).alias("gaps"), values.alias("values"))
+        found = found.withColumn(f"{mine}{kind}_rest", F.when(F.size(f"{mine}{kind}") > 0, rest))
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    for kind, (*_, least) in patterns.items():
+        made = F.filter(places(F.col(f"{mine}{kind}"), F.col(f"{mine}{kind}_rest.gaps"), F.col(f"{mine}{kind}_rest.values")), long_enough(least))
+        found = found.withColumn(f"{mine}{kind}_spans", F.when(F.size(f"{mine}{kind}") > 0, made).otherwise(empty))
+    plain = [F.transform(f"{mine}{kind}_spans", of_kind(kind)) for kind in BASE]
+    base, apart, added = (F.col(f"{mine}{x}") for x in ("base", "apart", "added"))
+    found = found.withColumn(f"{mine}base", F.array_sort(F.concat(*plain)))
+    mixed = F.filter(f"{mine}candidate_spans", lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]") & ~c["value"].rlike(ALLOWED))
+    found = found.withColumn(f"{mine}apart", F.when(F.size(f"{mine}candidate_spans") > 0, mixed).otherwise(empty))
+    found = found.withColumn(f"{mine}apart", F.when((F.size(apart) > 0) & (F.size(base) > 0), untouched(apart, base)).otherwise(apart))
 
     def judged(c: Column) -> Column:
         kind = kind_of(c["value"])
@@ -124,9 +161,9 @@ def scan(docs: DataFrame, column: str = "secrets", text: str = "text") -> DataFr
             rank = F.when(kind == name, F.when(windowed(c["value"], alphabet, window) >= limit, F.lit(KINDS.index(name))).otherwise(F.lit(-1))).otherwise(rank)
         return F.struct(c["start"].alias("start"), rank.alias("rank"), c["end"].alias("end"), kind.alias("kind"))
 
-    kept = F.filter(F.transform("_apart", judged), lambda s: s["rank"] >= 0)
-    found = found.withColumn("_added", F.when(F.size("_apart") > 0, kept))
-    return found.withColumn(column, F.when(F.size("_added") > 0, F.array_sort(F.concat("_base", "_added"))).otherwise(F.col("_base"))).select(*(F.col(f"`{c}`") for c in own if c != column), column)
+    kept = F.filter(F.transform(apart, judged), lambda s: s["rank"] >= 0)
+    found = found.withColumn(f"{mine}added", F.when(F.size(apart) > 0, kept))
+    return found.withColumn(column, F.when(F.size(added) > 0, F.array_sort(F.concat(base, added))).otherwise(base)).select(*(F.col(f"`{c}`") for c in own if c != column), f"`{column}`")
 
 
 def listed(spans: Column) -> Column:
@@ -144,12 +181,16 @@ def base_only(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """A text in which each span, or run of overlapping spans, is replaced by a mark."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def piece(chunks: Column, start: Column, end: Column) -> Column:
+        """Characters start to before end, from the pieces of CHUNK characters that hold them."""
+        first, last = (F.floor(x / CHUNK).cast("int") for x in (start, end - 1))
+        part = lambda k: F.substring(F.get(chunks, k), F.greatest(start - k * CHUNK, F.lit(0)) + 1, F.least(end - k * CHUNK, F.lit(CHUNK)) - F.greatest(start - k * CHUNK, F.lit(0)))
+        return F.when(start < end, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
+
+    def built(chunks: Column) -> Column:
+        before = running(F.transform(spans, lambda s: s["end"]), 0, lambda a, b: F.greatest(a, b))
+        parts = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(piece(chunks, at, s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), piece(chunks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    whole = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), built)).otherwise(text)
