@@ -2,18 +2,21 @@
 
 near_duplicates links fingerprints of 64 bits exactly, at a few differing bits: texts that are nearly the same. similar
 links texts by a similarity (0.8 of their shingles, say), which leaves more bits apart than any tree can search: it makes
-a fingerprint of 1,024 bits, searches each of its 32 parts by a tree of its own at one differing bit, and decides pairs
-whose whole fingerprints are near enough by the shingles that they share.
+a fingerprint of 3,072 bits, searches each of its 96 parts by a tree of its own at one differing bit, and decides pairs
+whose first 1,024 bits are near enough by the shingles that they share.
 
 The different fingerprints are partitioned by a vantage-point tree whose top is fitted on a bounded sample: a node sends
 those within a distance of its vantage point to one side, the others to the other. Each fingerprint has one home shard;
 where the triangle bound leaves it possible that one on the far side is near enough, a copy visits the shards there, as a
 query only. Every shard builds its own tree over its home fingerprints and searches it for homes and visitors, so each
-pair within the radius is found. A shard gives the trees (stars) of what it linked, never all pairs.
-
-Cases: a null or empty text, or one without words, has fingerprint zero and links like any other; repeated rows share a
-fingerprint; a null doc_id gets the component of its fingerprint but lends it no id (null if no row of it has one), and
-does not connect different fingerprints; an empty table gives no row; columns other than doc_id and text are not read.
+pair within the radius is found. A shard gives the trees (stars) of what it linked, never all pairs. Shards grow with the
+table up to LARGEST, for copies grow with the depth of the top; a shard with too many homes or visitors is dealt to
+chunks, and each pair of chunks is a group of its own.
+
+Cases of near_duplicates: a null or empty text, or one without words, has fingerprint zero and links like any other;
+repeated rows share a fingerprint; a null doc_id gets the component of its fingerprint but lends it no id (null if no row
+of it has one), and does not connect different fingerprints; an empty table gives no row; columns other than doc_id and
+text are not read. Cases of similar: the same; rows that share a doc_id count as different texts where their texts differ.
 """
 
 from __future__ import annotations
@@ -32,16 +35,20 @@ from sampleweave.llm.shared import at_work, components, own_columns, written
 
 SEED = 42
 SAMPLE = 1 << 16  #: most fingerprints on which the top of the tree is fitted
-SHARD = 1 << 14  #: fingerprints of a shard, about
-MOST = 1 << 16  #: a shard with more homes is split into chunks, each searched by all that visit the shard
+SHARD = 1 << 14  #: fingerprints of a shard, about, in tables of up to SHARDS such shards
+SHARDS = 256  #: shards that a larger table gets before its shards grow
+LARGEST = 1 << 20  #: fingerprints of a shard, about, in the largest tables
+MOST = 1 << 16  #: homes or visitors of a chunk, in shards of the smallest size; larger shards have larger chunks
 LEAF = 96  #: fingerprints below which a shard's own tree ends
 RUN = 1 << 17  #: shingles whose bits are counted at once
-WORDS = 16  #: 64-bit words of a long fingerprint; it has twice as many parts
+WORDS = 48  #: 64-bit words of a long fingerprint; it has twice as many parts
+CHECKED = 16  #: words that say whether two long fingerprints are near
 PART_SAMPLE = 1 << 14  #: most long fingerprints on which the tops of the parts' trees are fitted
-PART_SHARD = 1 << 15  #: rows of a part's shard, about
-BLOCK = 1 << 10  #: texts of a block, or of a group of small components, whose shingles are compared in one task
+PART_SHARD = 1 << 15  #: rows of a part's shard, about, in tables of up to SHARDS such shards
+BLOCK = 1 << 14  #: texts of a block that are compared in one task (a text of over SHINGLES shingles counts for several)
+SHINGLES = 256
 MEMBERS = 1 << 19  #: most members of loose components that are sent to every executor in place of a shuffle of texts
-PAIRS = 1 << 19  #: pairs of rows whose whole fingerprints are compared at once
+PAIRS = 1 << 19  #: pairs of rows whose fingerprints are compared at once
 STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,6 +192,85 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def shard_size(total: int, smallest: int) -> int:
+    """Fingerprints of a shard: smallest up to SHARDS shards, then growing with the table up to LARGEST."""
+    return max(smallest, min(LARGEST, total // SHARDS))
+
+
+def dealt(places: np.ndarray, key: np.ndarray, home: bool, homes: int, visitors: int) -> Iterator[tuple[int, int, np.ndarray, bool]]:
+    """The groups (i, j) of a shard that rows go to, and whether as homes: every pair of chunks of homes meets, and every chunk of homes with every chunk of visitors."""
+    if homes <= 1 and visitors <= 1:
+        yield 0, 0, places, home
+        return
+    chunk = key[places] % np.uint64(homes if home else visitors)
+    for c in range(homes if home else visitors):
+        who = places[chunk == c]
+        if not len(who):
+            continue
+        if home:
+            for other in range(homes):
+                yield min(c, other), max(c, other), who, other >= c
+            for v in range(visitors):
+                yield c, homes + v, who, True
+        else:
+            for h in range(homes):
+                yield h, homes + c, who, False
+
+
+@dataclass
+class Shards:
+    """Trees whose leaves are shards, numbered through from first, and the chunks of each shard's homes and visitors."""
+
+    trees: list[Node]
+    first: list[int]
+    reach: int
+    chunks: np.ndarray
+
+    @classmethod
+    def counted(cls, trees: list[Node], first: list[int], reach: int, rows: DataFrame, values_of, most: int) -> Shards:
+        """Counts the homes and visitors of every shard: a task sends one row for each shard. rows: one column, of which values_of makes a row of values, one for each tree."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((first[-1], 2), np.int64)
+            for batch in batches:
+                values = values_of(batch.column(0))
+                for p, tree in enumerate(trees):
+                    for node, places, home in routed(tree, values[:, p], reach):
+                        sums[first[p] + node.leaf, 0 if home else 1] += len(places)
+            found = np.flatnonzero(sums.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found, 0]), pa.array(sums[found, 1])], ["shard", "homes", "visitors"])
+
+        total = rows.mapInArrow(count, "shard long, homes long, visitors long").groupBy("shard").agg(F.sum("homes").alias("homes"), F.sum("visitors").alias("visitors"))
+        chunks = np.zeros((first[-1], 2), np.int64)
+        for r in total.collect():  # a row for each shard
+            chunks[r["shard"]] = max(1, -(-r["homes"] // most)), -(-r["visitors"] // most)
+        return cls(trees, first, reach, chunks)
+
+    def deal(self, p: int, values: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, bool]]:
+        """shard, i, j, places and whether at home, of values of tree p."""
+        for node, places, home in routed(self.trees[p], values, self.reach):
+            shard = self.first[p] + node.leaf
+            for i, j, who, mine in dealt(places, key, home, *self.chunks[shard].tolist()):
+                yield shard, i, j, who, mine
+
+
+PACKED = pa.schema([("shard", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("home", pa.bool_()), ("nodes", pa.binary()), ("values", pa.binary()), ("prints", pa.binary())])
+PACKED_COLUMNS = "shard int, i int, j int, home boolean, nodes binary, values binary, prints binary"
+
+
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    """What a batch sends to groups, a row for each group: many fingerprints travel as one."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(PACKED.types)], schema=PACKED)
+
+
+def unpacked(rows: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group: values, nodes, fingerprints' words and whether at home."""
+    nodes, values, prints = (b"".join(rows[c].to_pylist()) for c in ("nodes", "values", "prints"))
+    sizes = [len(x) // 8 for x in rows["nodes"].to_pylist()]
+    home = np.repeat(rows["home"].to_numpy(zero_copy_only=False).astype(bool), sizes)
+    return np.frombuffer(values, kind).astype(np.uint64), np.frombuffer(nodes, "<i8"), np.frombuffer(prints, "<u8").reshape(-1, CHECKED), home
+
+
 def links(prints: DataFrame, reach: int) -> DataFrame:
     """Edges (a, b) between representatives that connect all fingerprints within reach of each other. prints: fingerprint (all different), rep."""
     total = prints.count()
@@ -192,51 +278,38 @@ def links(prints: DataFrame, reach: int) -> DataFrame:
     chosen = prints.select("fingerprint").filter(F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 20)) < share).limit(SAMPLE).collect()
     sample = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
     leaves: list[Node] = []
-    tree = grown(sample, max(8, len(sample) * SHARD // max(1, total)), reach, np.random.default_rng(0), leaves, keep=False)
+    size = shard_size(total, SHARD)
+    tree = grown(sample, max(8, len(sample) * size // max(1, total)), reach, np.random.default_rng(0), leaves, keep=False)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(leaves), np.int64)
-        for batch in batches:
-            for node, places, home in routed(tree, batch.column(0).to_numpy().view(np.uint64), reach):
-                sums[node.leaf] += home * len(places)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(leaves))), pa.array(sums)], ["leaf", "n"])
+    def values_of(column: pa.Array) -> np.ndarray:
+        return column.to_numpy().view(np.uint64)[:, None]
 
-    sizes = {r["leaf"]: r["n"] for r in prints.select("fingerprint").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    chunks = np.array([max(1, -(-sizes.get(k, 0) // MOST)) for k in range(len(leaves))])
-    first = np.concatenate([[0], np.cumsum(chunks)])
+    shards = Shards.counted([tree], [0, len(leaves)], reach, prints.select("fingerprint"), values_of, MOST * size // SHARD)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for node, places, home in routed(tree, own, reach):
-                n, at = chunks[node.leaf], first[node.leaf]
-                chunk = own[places] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-                chunk = (chunk % np.uint64(n)).astype(np.int64)
-                for c in range(n):
-                    for who, mine in ((places[chunk == c], True), (places[chunk < c], False)) if home else ((places, False),):
-                        if len(who):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), at + c)), pa.array(own[who].view(np.int64)), pa.array(rep[who]), pa.array(np.full(len(who), mine))], ["shard", "fingerprint", "rep", "home"])
+            own, rep = values_of(batch.column(0))[:, 0], batch.column(1).to_numpy()
+            key = own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            yield packed([(shard, i, j, home, rep[who].tobytes(), own[who].tobytes(), b"") for shard, i, j, who, home in shards.deal(0, own, key)])
 
     def search(rows: pa.Table) -> pa.Table:
-        own, rep, home = rows["fingerprint"].to_numpy().view(np.uint64), rows["rep"].to_numpy(), rows["home"].to_numpy(zero_copy_only=False)
+        own, rep, _, home = unpacked(rows, "<u8")
         order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
         n = int(home.sum())
         i, j = linked(own[order][:n], own[order][n:], reach) if n else (np.empty(0, np.int64),) * 2
         rep = rep[order]
         return pa.table({"a": pa.array(rep[i], pa.int64()), "b": pa.array(rep[j], pa.int64())})
 
-    shards = prints.select("fingerprint", "rep").mapInArrow(route, "shard long, fingerprint long, rep long, home boolean")
-    return shards.groupBy("shard").applyInArrow(search, "a long, b long")
+    return prints.select("fingerprint", "rep").mapInArrow(route, PACKED_COLUMNS).groupBy("shard", "i", "j").applyInArrow(search, "a long, b long")
 
 
-def long_fingerprint(text: str | None, words_per_shingle: int) -> np.ndarray:
-    """The SimHash of WORDS x 64 bits over the different shingles, each once: a shingle's hash is spread over them by mixing it with each word's number."""
-    hashes = np.unique(shingle_hashes(text, words_per_shingle))
+def mixed_bits(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of words x 64 bits of different hashes: each is spread over them by mixing it with every word's number."""
     if not len(hashes):
-        return np.zeros(WORDS, np.int64)
-    ones = np.zeros(64 * WORDS, np.int64)
+        return np.zeros(words, np.int64)
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 255):  # so that a byte can count
-        mixed = hashes[at : at + 255, None] + STEPS[None, :]
+        mixed = hashes[at : at + 255, None] + STEPS[None, :words]
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(31)
@@ -244,18 +317,31 @@ def long_fingerprint(text: str | None, words_per_shingle: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
+def long_fingerprint(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The SimHash of WORDS x 64 bits over the different shingles of a text, each once."""
+    return mixed_bits(np.unique(shingle_hashes(text, words_per_shingle)), WORDS)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text: a hash of the text tells rows that share a doc_id apart."""
+    return own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+
+
 def long_fingerprints(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """doc_id, fingerprint (an array of WORDS longs)."""
+    """doc_id, text_hash, shingles (how many different ones), fingerprint (an array of WORDS longs), node (the fingerprint's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("simhash")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                made = np.concatenate([long_fingerprint(x, words_per_shingle) for x in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, len(made) + 1, WORDS, dtype=np.int32), pa.array(made))], ["doc_id", "fingerprint"])
+                sets = [np.unique(shingle_hashes(x, words_per_shingle)) for x in batch.column(2).to_pylist()]
+                made = np.concatenate([mixed_bits(x, WORDS) for x in sets])
+                prints = pa.ListArray.from_arrays(np.arange(0, len(made) + 1, WORDS, dtype=np.int32), pa.array(made))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), prints], ["doc_id", "text_hash", "shingles", "fingerprint"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fingerprint array<long>")
+    made = keyed(docs).mapInArrow(run, "doc_id long, text_hash long, shingles long, fingerprint array<long>")
+    return made.withColumn("node", F.xxhash64("fingerprint"))
 
 
 def parts_of(column: pa.Array) -> np.ndarray:
@@ -355,162 +441,176 @@ def near_forest(values: np.ndarray, prints: np.ndarray, home: np.ndarray, reach:
 
 
 def part_links(prints: DataFrame, bits: int, reach: int = 1) -> DataFrame:
-    """Edges (a, b) that connect all representatives that are within reach in some part and within bits by their whole fingerprints.
+    """Edges (a, b) that connect all nodes that are within reach in some part and within bits by what is CHECKED. prints: node, fingerprint (all different).
 
-    A first search, of parts alone, says which rows meet any other in a part; only those rows carry their fingerprints to
+    A first search, of parts alone, says which nodes meet any other in a part; only those carry their fingerprints to
     the shards of that part, where a second search goes through their pairs. A shard gives a forest of what it linked.
     """
     total = prints.count()
     share = int(min(1.0, PART_SAMPLE / max(1, total)) * (1 << 20))
-    chosen = prints.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share).select("rep", "fingerprint").limit(PART_SAMPLE).toArrow().sort_by("rep")
+    chosen = prints.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share).select("node", "fingerprint").limit(PART_SAMPLE).toArrow().sort_by("node")
     sample = parts_of(chosen["fingerprint"].combine_chunks()) if chosen.num_rows else np.zeros((1, 2 * WORDS), np.uint64)
-    trees, first = [], [0]
+    trees, first, size = [], [0], shard_size(total, PART_SHARD)
     for p in range(2 * WORDS):
         leaves: list[Node] = []
-        trees.append(grown(np.unique(sample[:, p]), max(8, len(sample) * PART_SHARD // max(1, total)), reach, np.random.default_rng(p), leaves, keep=False))
+        trees.append(grown(np.unique(sample[:, p]), max(8, len(sample) * size // max(1, total)), reach, np.random.default_rng(p), leaves, keep=False))
         first.append(first[-1] + len(leaves))
+    shards = Shards.counted(trees, first, reach, prints.select("fingerprint"), parts_of, MOST * size // PART_SHARD)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, parts = batch.column(0).to_numpy(), parts_of(batch.column(1))
-            for p, tree in enumerate(trees):
-                for node, places, home in routed(tree, parts[:, p], reach):
-                    n = len(places)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first[p] + node.leaf, np.int32)), pa.array(parts[places, p].astype(np.uint32).view(np.int32)), pa.array(rep[places]), pa.array(np.full(n, home))], ["shard", "part", "rep", "home"])
+            node, parts = batch.column(0).to_numpy(), parts_of(batch.column(1))
+            for p in range(2 * WORDS):
+                own = parts[:, p].astype("<u4")
+                rows = [(shard, i, j, home, node[who].tobytes(), own[who].tobytes(), b"") for shard, i, j, who, home in shards.deal(p, parts[:, p], node.view(np.uint64))]
+                if rows:
+                    yield packed(rows)
 
     def meet(rows: pa.Table) -> pa.Table:
-        values, rep = rows["part"].to_numpy().view(np.uint32).astype(np.uint64), rows["rep"].to_numpy()
-        home = rows["home"].to_numpy(zero_copy_only=False).astype(bool)
-        some = np.flatnonzero(met(values, home, reach)) if home.any() else np.empty(0, np.int64)
+        values, node, _, home = unpacked(rows, "<u4")
+        some = np.unique(node[met(values, home, reach)]) if home.any() else np.empty(0, np.int64)
         p = np.searchsorted(first, rows["shard"][0].as_py(), "right") - 1
-        return pa.table({"p": pa.array(np.full(len(some), p, np.int32)), "rep": pa.array(rep[some], pa.int64())})
+        return pa.table({"p": pa.array(np.full(len(some), p, np.int32)), "node": pa.array(some, pa.int64())})
 
     def route_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, parts = batch.column(0).to_numpy(), parts_of(batch.column(2))
+            of, node, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), parts_of(batch.column(2))
+            words = parts.astype("<u4")[:, : 2 * CHECKED]
             for p in np.unique(of).tolist():
-                rows = np.flatnonzero(of == p)
-                for node, places, home in routed(trees[p], parts[rows, p], reach):
-                    n, own = len(places), batch.take(pa.array(rows[places]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first[p] + node.leaf, np.int32)), own.column(1), own.column(2), pa.array(np.full(n, home))], ["shard", "rep", "fingerprint", "home"])
+                at = np.flatnonzero(of == p)
+                own = parts[at, p].astype("<u4")
+                yield packed([(shard, i, j, home, node[at[who]].tobytes(), own[who].tobytes(), words[at[who]].tobytes()) for shard, i, j, who, home in shards.deal(p, parts[at, p], node[at].view(np.uint64))])
 
     def search(rows: pa.Table) -> pa.Table:
-        rep, prints = rows["rep"].to_numpy(), rows["fingerprint"].combine_chunks()
-        home = rows["home"].to_numpy(zero_copy_only=False).astype(bool)
-        p = np.searchsorted(first, rows["shard"][0].as_py(), "right") - 1
-        label = near_forest(parts_of(prints)[:, p], prints.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS), home, reach, bits) if home.any() else np.arange(len(rep))
+        values, node, prints, home = unpacked(rows, "<u4")
+        label = near_forest(values, prints, home, reach, bits) if home.any() else np.arange(len(node))
         some = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": pa.array(rep[some], pa.int64()), "b": pa.array(rep[label[some]], pa.int64())})
+        return pa.table({"a": pa.array(node[some], pa.int64()), "b": pa.array(node[label[some]], pa.int64())})
 
-    routed_rows = prints.select("rep", "fingerprint").mapInArrow(route, "shard int, part int, rep long, home boolean")
-    meeting = written(routed_rows.groupBy("shard").applyInArrow(meet, "p int, rep long").distinct(), "meeting")
-    carried = meeting.join(prints.select("rep", "fingerprint"), "rep").select("p", "rep", "fingerprint")
-    again = carried.mapInArrow(route_part, "shard int, rep long, fingerprint array<long>, home boolean")
-    return again.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+    group = ["shard", "i", "j"]
+    routed_rows = prints.select("node", "fingerprint").mapInArrow(route, PACKED_COLUMNS)
+    meeting = written(routed_rows.groupBy(*group).applyInArrow(meet, "p int, node long").distinct(), "meeting")
+    carried = meeting.join(prints.select("node", "fingerprint"), "node").select("p", "node", "fingerprint")
+    return carried.mapInArrow(route_part, PACKED_COLUMNS).groupBy(*group).applyInArrow(search, "a long, b long").distinct()
 
 
 def bits_apart(similarity: float) -> int:
-    """Differing bits of long fingerprints of texts that share so much of all their shingles (in sets of equal size)."""
-    return round(64 * WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Differing bits, of those CHECKED, of texts that share so much of all their shingles (in sets of equal size)."""
+    return round(64 * CHECKED * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def loose_bits(similarity: float) -> int:
     """Differing bits that texts of the similarity exceed once in some thousands: four deviations above bits_apart."""
-    p = bits_apart(similarity) / (64 * WORDS)
-    return math.ceil(64 * WORDS * p + 4 * math.sqrt(64 * WORDS * p * (1 - p)))
+    p = bits_apart(similarity) / (64 * CHECKED)
+    return math.ceil(64 * CHECKED * p + 4 * math.sqrt(64 * CHECKED * p * (1 - p)))
 
 
 def exact_forest(prints: np.ndarray, sets: list[np.ndarray], block: np.ndarray, bits: int, similarity: float) -> np.ndarray:
-    """For each text the first one that pairs at the similarity connect it with. Pairs within bits are decided by their sets of shingles, nearest first, but for those connected already.
+    """For each text the first one that pairs at the similarity connect it with. Pairs within bits, but for those connected already, are decided by their sets of shingles.
 
-    block: 0 or 1; if both occur, only pairs across are compared.
+    block: 0 or 1; if both occur, only pairs across are compared. A text marks its shingles in a table of all of them, so
+    the shares with all its candidates are one look-up of the candidates' shingles.
     """
     label, across = np.arange(len(sets)), len(set(block.tolist())) > 1
-    for at in range(0, len(sets), 256):
-        rows = np.arange(at, min(at + 256, len(sets)))
+    size = np.array([len(x) for x in sets])
+    end = np.cumsum(size)
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(distinct), np.int8)
+    for at in range(0, len(sets), 64):
+        rows = np.arange(at, min(at + 64, len(sets)))
         apart = np.zeros((len(rows), len(sets)), np.int16)
         for w in range(prints.shape[1]):
             apart += np.bitwise_count(prints[rows, w][:, None] ^ prints[:, w][None, :])
-        i, j = np.nonzero((apart <= bits) & (rows[:, None] < np.arange(len(sets))[None, :]) & ((not across) | (block[rows][:, None] != block[None, :])))
-        nearest = np.argsort(apart[i, j], kind="stable")
-        for x, y in zip((rows[i])[nearest].tolist(), j[nearest].tolist(), strict=True):
-            if label[x] == label[y]:
+        for x, bits_of in zip(rows.tolist(), apart, strict=True):
+            fits = (bits_of <= bits) & (label != label[x]) & (np.minimum(size, size[x]) >= similarity * np.maximum(size, size[x]))
+            some = np.flatnonzero(fits & (block != block[x]) if across else fits)
+            some = some[some > x]
+            if not len(some):
                 continue
-            m, n = len(sets[x]), len(sets[y])
-            if min(m, n) < similarity * max(m, n):
-                continue
-            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if shared >= similarity * (m + n - shared) - 1e-9:
-                low, high = sorted((label[x], label[y]))
-                label[label == high] = low
+            own = number[end[x] - size[x] : end[x]]
+            mark[own] = 1
+            sums = np.concatenate([[0], np.cumsum(mark[number[np.repeat(end[some] - np.cumsum(size[some]), size[some]) + np.arange(size[some].sum())]], dtype=np.int64)])
+            mark[own] = 0
+            shared = np.diff(sums[np.concatenate([[0], np.cumsum(size[some])])])
+            near = some[shared >= similarity * (size[x] + size[some] - shared) - 1e-9]
+            if len(near):
+                met_ = np.unique([label[x], *label[near]])
+                label[np.isin(label, met_)] = met_[0]
     return label
 
 
-def exact_links(docs: DataFrame, usable: DataFrame, loose: DataFrame, words_per_shingle: int, bits: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect all representatives of a loose component whose texts share so much of their shingles.
+def exact_links(docs: DataFrame, reps: DataFrame, loose: DataFrame, words_per_shingle: int, bits: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all nodes of a loose component whose texts share so much of their shingles.
 
-    The shingles of a component come together once. A component of more than BLOCK rows is dealt to blocks, and each pair
-    of blocks is a group of its own; small components share groups.
+    reps: node, doc_id, text_hash, shingles. The shingles of a component come together once. A component of more than
+    BLOCK texts is dealt to blocks, and each pair of blocks is a group of its own; small components share groups.
     """
-    members = written(loose.join(usable, F.col("rep") == F.col("node")).select("node", "component", F.xxhash64("fingerprint").alias("key")), "members")
-    large = members.groupBy("component").count().filter(F.col("count") > BLOCK).select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    members = written(loose.join(reps, "node").withColumn("weight", F.greatest(F.lit(1.0), F.col("shingles") / SHINGLES)), "members")
+    large = members.groupBy("component").agg(F.sum("weight").alias("n")).filter(F.col("n") > BLOCK).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = written(members.join(F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "members")
-    total = members.count()
-    held = F.broadcast(members) if total <= MEMBERS else members
+    count, size = members.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    held = F.broadcast(members) if count <= MEMBERS else members
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("simhash")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sets = [np.unique(shingle_hashes(x, words_per_shingle)).view(np.int64) for x in batch.column(4).to_pylist()]
-                prints = np.concatenate([long_fingerprint(x, words_per_shingle) for x in batch.column(4).to_pylist()])
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k) for k in range(4)), pa.ListArray.from_arrays(np.arange(0, len(prints) + 1, WORDS, dtype=np.int32), pa.array(prints)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))],
-                    ["node", "component", "key", "blocks", "fingerprint", "shingles"],
-                )
+                sets = [np.unique(shingle_hashes(x, words_per_shingle)) for x in batch.column(3).to_pylist()]
+                prints, hashes = ([x.tobytes() for x in made] for made in ([mixed_bits(x, CHECKED) for x in sets], sets))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(prints, pa.binary()), pa.array(hashes, pa.binary())], ["node", "component", "blocks", "fingerprint", "hashes"])
 
     def search(rows: pa.Table) -> pa.Table:
         node, component, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
-        prints = rows["fingerprint"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-        column = rows["shingles"].combine_chunks()
-        ends, hashes = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), column.flatten().to_numpy()
+        prints = np.frombuffer(b"".join(rows["fingerprint"].to_pylist()), "<u8").reshape(-1, CHECKED)
+        sets = [np.frombuffer(x, "<i8") for x in rows["hashes"].to_pylist()]
         order = np.argsort(component, kind="stable")
         a, b = [], []
         for own in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
-            label = exact_forest(prints[own], [hashes[ends[k] : ends[k + 1]] for k in own], (block[own] != block[own].min()).astype(int), bits, similarity)
+            label = exact_forest(prints[own], [sets[k] for k in own], (block[own] != block[own].min()).astype(int), bits, similarity)
             some = np.flatnonzero(label != np.arange(len(own)))
             a.append(node[own[some]])
             b.append(node[own[label[some]]])
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    texts = own_columns(docs, "doc_id", "text").join(held, F.col("doc_id") == F.col("node")).select("node", "component", "key", "blocks", "text")
-    rows = texts.mapInArrow(run, "node long, component long, key long, blocks int, fingerprint array<long>, shingles array<long>").filter(F.xxhash64("fingerprint") == F.col("key"))
+    texts = keyed(docs).join(held, ["doc_id", "text_hash"]).select("node", "component", "blocks", "text")
+    rows = texts.mapInArrow(run, "node long, component long, blocks int, fingerprint binary, hashes binary")
     # pairs of different blocks only, or of one: a row goes to the group of its block with each block
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(max(12, total // BLOCK))))
-    rows = rows.select((F.col("blocks") > 1).alias("large"), group.alias("bin"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", F.col("own").alias("block"), "fingerprint", "shingles")
+    group = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(max(12, int(4 * size / BLOCK)))))
+    rows = rows.select((F.col("blocks") > 1).alias("large"), group.alias("bin"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", F.col("own").alias("block"), "fingerprint", "hashes")
     return rows.groupBy("large", "bin", "i", "j").applyInArrow(search, "a long, b long")
 
 
+def repeated(made: DataFrame) -> DataFrame:
+    """doc_id, text_hash of rows that repeat one."""
+    return written(made.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"), "repeated")
+
+
 def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: the smallest doc_id that links of texts of at least the similarity reach.
+    """doc_id, text_hash (XXH64 of the text, "" for null), component_id, kept, a row for each row of docs.
+
+    component_id is the smallest doc_id that links of texts of at least the similarity reach. kept is true for the row of
+    a component with the smallest (doc_id, text_hash), for all rows that repeat it, and for rows without a component.
 
     Fingerprints only lead to candidates: pairs that meet in a part and are within a looser limit of bits make loose
     components; within those, pairs within that limit are decided by their sets of different shingles, exactly. Texts
-    of one fingerprint count as equal: at 1,024 bits in common they share all but a few of some thousand shingles.
-    A part leads to a pair with a chance that grows with its similarity; over all parts about 0.7 of the pairs at 0.8 are
-    found by themselves, 0.97 of those at 0.9 and nearly all above. Links through others join the rest of a group.
+    of one fingerprint count as equal: at 3,072 bits in common they share all but a few of some thousand shingles.
+    A part leads to a pair with a chance that grows with its similarity; over all parts 0.96 of the pairs at exactly 0.8
+    are found by themselves and nearly all above 0.85. Links through others join the rest of a group.
     """
     made = written(long_fingerprints(docs, words_per_shingle), "fingerprints")
-    distinct = written(made.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "distinct")
-    usable = distinct.filter("rep is not null")
+    reps = made.filter("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "shingles")).alias("r"))
+    reps = written(reps.select("node", "r.doc_id", "r.text_hash", "r.shingles"), "classes")
     bits = loose_bits(similarity)
-    loose = components(written(part_links(usable, bits), "pairs"))
-    found = components(written(exact_links(docs, usable, loose, words_per_shingle, bits, similarity), "links"))
-    known = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return made.join(written(known, "known"), "fingerprint").select("doc_id", "component_id")
+    loose = components(written(part_links(written(made.select("node", "fingerprint").distinct(), "distinct"), bits), "pairs"))
+    texts = docs if repeated(made.filter("doc_id is not null")).isEmpty() else keyed(docs).dropDuplicates(["doc_id", "text_hash"])
+    found = components(written(exact_links(texts, reps, loose, words_per_shingle, bits, similarity), "links"))
+    classes = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    known = written(classes.join(best, "component").select("node", F.col("best.doc_id").alias("component_id"), F.col("best.text_hash").alias("best_hash")), "known")
+    kept = F.col("component_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("best_hash")))
+    return made.select("doc_id", "text_hash", "node").join(known, "node", "left").select("doc_id", "text_hash", "component_id", kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, reach: int = 3) -> DataFrame:
