@@ -15,8 +15,9 @@ from sampleweave.llm import packing, secrets, shared, simhash, toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Shingles of five words, of which near-duplicates share 0.8 or more.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Most ids that are sent to every executor (16 bytes each) in place of a shuffle of whole texts.
-BROADCAST = 1 << 21
+#: Most rows (an id and a hash) that are sent to every executor in place of a shuffle of whole texts.
+BROADCAST = 1 << 20
+KEY = "text hash"  #: a column of its own beside COLUMNS
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +28,27 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest doc_id; documents without one stay, too."""
+    """Keeps of each group of near-duplicates one row: that with the smallest doc_id (of those with the smallest hash of the text).
+
+    Rows go by their id and their text, so rows that share a doc_id go each by its own text. Of rows that repeat the one
+    that stays, the smallest by all columns stays. A row without an id goes if its group has a row with one.
+    """
+    docs = docs.select(*COLUMNS).withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
     groups = shared.written(simhash.similar(docs, SHINGLE, SIMILARITY), "groups")
-    lost = shared.written(groups.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "lost")
-    lost = F.broadcast(lost) if lost.count() <= BROADCAST else lost  # beyond it both sides are shuffled
-    return docs.select(*COLUMNS).join(lost, "doc_id", "left_anti").select(*COLUMNS)
+
+    def found(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        rows = shared.written(rows.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).distinct(), name)
+        n = rows.count()
+        return (F.broadcast(rows) if n <= BROADCAST else rows), n  # beyond it both sides are shuffled
+
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col(KEY) == F.col("h"))
+    lost, _ = found(groups.filter("not kept"), "lost")
+    repeats, n = found(groups.filter("kept and doc_id is not null").groupBy("doc_id", "text_hash").count().filter("count > 1"), "repeats")
+    kept = docs.join(lost, same, "left_anti")
+    if n:
+        one = kept.join(repeats, same, "left_semi").groupBy("doc_id", KEY).agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+        return kept.join(repeats, same, "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
+    return kept.select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
