@@ -2,12 +2,14 @@
 
 Words are lower-cased runs of letters inside white-space chunks; a document's features are the set of hashes of its
 words, its pairs of neighbours and its pairs with one word between. Training sees a bounded sample of labelled documents:
-the SAMPLE first by a hash of their doc_id (and at most FEATURES features in all), one task, EPOCHS passes. Per-coordinate
-learning rates and L1 leave few weights other than zero; those are broadcast, and every whole text is scored.
-
-Cases: a null or empty text has no features and scores the bias alone; rows repeat as they come; a document with labels
-that differ counts with each; where there is no label to learn from, every score is 0.5;
-columns other than doc_id, text (documents) and doc_id, toxic (labels) are not read.
+the SAMPLE first by a hash of their doc_id, one text for each, and of these, in order, as many as have FEATURES features
+in all; one task, EPOCHS passes. Per-coordinate learning rates and L1 leave few weights other than zero; those are
+broadcast, and every whole text is scored.
+
+Cases: a null or empty text has no features and scores the bias alone; rows repeat as they come; of texts that share a
+doc_id the one with the least features in byte order is learned from; a document with labels that differ counts once with
+each; where there is no label to learn from, every score is 0.5; columns other than doc_id, text (documents) and doc_id,
+toxic (labels) are not read; scored passes them on, but for an own column toxicity, which the score replaces.
 """
 
 from __future__ import annotations
@@ -137,24 +139,25 @@ def fitted(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "found"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        rows, held = [], 0  # the rows come in order
         for batch in batches:
-            for doc, y, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if held + len(x) // 4 <= FEATURES:
-                    rows.append((zlib.crc32(str(doc).encode()), doc, y, x))
-                    held += len(x) // 4
-        rows.sort()
-        model = ftrl([(np.frombuffer(x, "<i4"), y) for *_, y, x in rows])
+            for y, x in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                held += len(x) // 4
+                if held <= FEATURES:
+                    rows.append((np.frombuffer(x, "<i4"), y))
+        model = ftrl(rows)
         if not rows:
             return
         yield pa.RecordBatch.from_arrays([pa.array([-1, *model.places], pa.int64()), pa.array([model.bias, *model.weights], pa.float64())], ["place", "weight"])
 
-    usable = labelled.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    usable = labelled.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     hashed = F.xxhash64("doc_id", F.lit(7))
     share = min(1.0, 1.2 * sample / max(1, usable.count()))  # so that tasks send about the sample, not a sample each
     chosen = usable.filter(F.pmod(hashed, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).orderBy(hashed, "doc_id", "toxic").limit(sample)
     rows = own_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(read, "doc_id long, toxic int, found binary")
-    weights = written(rows, "features").coalesce(1).mapInArrow(train, "place long, weight double").orderBy("place").collect()
+    some = written(rows.groupBy("doc_id", "toxic").agg(F.min("found").alias("found")), "features")
+    in_order = some.repartition(1).sortWithinPartitions(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "toxic")
+    weights = in_order.mapInArrow(train, "place long, weight double").orderBy("place").collect()
     if not weights:
         return Model(np.empty(0, np.int64), np.empty(0), 0.0)
     return Model(np.array([r["place"] for r in weights[1:]], np.int64), np.array([r["weight"] for r in weights[1:]]), weights[0]["weight"])
@@ -173,6 +176,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 scores = [model.score(features(x), dense) for x in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
 
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "toxicity"))
     names = [*docs.columns, "toxicity"]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
 
