@@ -1,6 +1,7 @@
 """Packing of documents into sequences of a fixed capacity: first-fit decreasing over a tournament tree.
 
-Documents are dealt to groups by a hash of their id, about GROUP to a group, and each group is packed by itself. A
+Documents are dealt to groups by a hash of their id and their ids, about GROUP to a group, and each group is packed by
+itself; rows that repeat one in a batch are dealt by their number, too, so no group holds all copies. A
 document's ids are cut into full sequences; what is left of each goes, longest first, to the first bin with room, found
 in a tournament tree whose inner nodes hold the greatest room below them. Then the emptiest bins are taken apart and
 their pieces, cut where need be, fill the gaps of the fuller ones, so that at most one sequence of a group is not full.
@@ -99,12 +100,17 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAP
         at_work("byte text", tokens.byte_text.cache_clear)
         text, packed, end = tokens.byte_text(vocabulary_path), zstandard.ZstdCompressor(level=1), tokens.id_bytes([end_id])
         for whole in batches:
+            seen: dict[int | None, int] = {}  # rows of a doc_id so far in this batch
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 ids = [text.ids(x) + end for x in batch.column(1).to_pylist()]
                 if narrow:
                     ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed.compress(x) for x in ids], pa.binary())], ["doc_id", "ids"])
+                again = []
+                for doc in batch.column(0).to_pylist():
+                    again.append(seen.get(doc, 0))
+                    seen[doc] = again[-1] + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed.compress(x) for x in ids], pa.binary()), pa.array(again, pa.int32())], ["doc_id", "ids", "again"])
 
     def pack_group(key: tuple, rows: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -123,7 +129,8 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAP
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     narrow = tokens.tokenizer(vocabulary_path).get_vocab_size(with_added_tokens=True) <= 1 << 16
     groups = max(1, -(-docs.count() // group))
-    dealt = own_columns(docs, "doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary").withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = own_columns(docs, "doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary, again int")
+    dealt = dealt.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", "ids", "again"), F.lit(groups)).alias("group"))
     return dealt.groupBy("group").applyInArrow(pack_group, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
