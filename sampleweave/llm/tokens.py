@@ -21,7 +21,7 @@ import regex
 
 #: Most entries of a generation of a cache.
 CACHE = 450_000
-#: Characters whose class or case is newer than the Unicode tables of Python: such texts go through the library's own steps.
+#: Characters whose class or case is newer than the Unicode tables of Python: such texts are normalised and cut into words by the library's own steps.
 NEWER = re.compile("[\u1c89\u1c8a\ua7cb-\ua7f1\U00010d40-\U00010d8f\U00010ec0-\U00010eff\U00016ea0-\U00016eff]")
 #: Controls that str.split takes for white space and tokenizers do not.
 CONTROLS = "\x1c\x1d\x1e\x1f"
@@ -158,10 +158,9 @@ class WordText:
     def _plain(self, text: str) -> bytes:
         if newer(text):
             whole = self.tokenizer.normalizer.normalize_str(text)
-            pieces = self.find(whole) if not newer(whole) else None
-            if pieces is None:
-                return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            return self.chunks.joined(pieces)
+            if newer(whole):
+                return b"".join(self.encode([whole[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(whole)]))
+            return self.chunks.joined(self.find(whole))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
