@@ -1,7 +1,8 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
-Components become integers, floor(scale * x). Queries are taken in blocks of at most BLOCK, each collected, indexed by a
-cover tree and broadcast; a block is a stated set against all rows, so a pass over the table answers it. A task builds a
+Components become integers, floor(scale * x). Queries are taken in blocks of about BLOCK, one after the other: a block is
+collected, indexed by a cover tree and broadcast, a pass over the table answers it, and its answers are written before the
+next block is fetched, so the driver holds one block at any time. A task builds a
 cover tree over each SHARD rows that it reads and walks both trees together: a pair of nodes whose greatest possible
 inner product, from the centres and the covering radii, is below the worst kth score of the node's queries is pruned.
 kth scores start from a bounded sample of rows and carry over from shard to shard. A task sends what is still in its
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sampleweave.llm.shared import own_columns, written
+from sampleweave.llm.shared import new_path, own_columns, written
 
 BLOCK = 8192
 SHARD = 8192
@@ -167,17 +168,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     seen = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < share).limit(SAMPLE).toArrow()
     sample, sample_ids = quantised(seen["embedding"].combine_chunks(), scale, size), seen["vec_id"].to_numpy()
     blocks = -(-n // BLOCK)
-    passes = []
+    answers = new_path(spark, "answers")
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("query_id", F.lit(4)), F.lit(blocks)) == b).toArrow()
         if block.num_rows:
-            passes.append(answered(rows, block, sample, sample_ids, k, scale, size))
-    found = passes[0]
-    for other in passes[1:]:
-        found = found.union(other)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            found = answered(rows, block, sample, sample_ids, k, scale, size).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            best.write.mode("append").parquet(answers)
+    return spark.read.schema(empty).parquet(answers)
 
 
 def answered(rows: DataFrame, block: pa.Table, sample: np.ndarray, sample_ids: np.ndarray, k: int, scale: int, size: int) -> DataFrame:
@@ -191,8 +190,10 @@ def answered(rows: DataFrame, block: pa.Table, sample: np.ndarray, sample_ids: n
             scores[ids[at : at + 512][:, None] == sample_ids[None, :]] = -np.inf
             least[at : at + 512] = np.partition(scores, -k, axis=1)[:, -k]
 
+    root = cover_tree(queries)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, best = cover_tree(queries), Best(ids, k, least)
+        best = Best(ids, k, least)
         held, held_ids, waiting = [], [], 0
 
         def flush() -> None:
