@@ -3,11 +3,13 @@
 Rows with equal labels and vectors form a class with a count. Unit vectors are cut in halves; a codebook of each half,
 fitted on a bounded sample, makes a grid of cells, and every class is posted in its cell. A class then visits cells in
 order of the sum of its halves' squared distances to the codewords (a heap walks the two sorted lists), until that sum
-exceeds the least by a slack fitted to TARGET recall at the similarity limit itself. Visitors meet the cell's own
+exceeds the least by a slack fitted to TARGET recall at the similarity limit itself, on vectors that the codebooks were not
+fitted on, where there are enough. Visitors meet the cell's own
 classes; a pair counts if its cosine in double precision reaches the limit. What a cell gives is each class's number of
 links and a spanning forest of them, never its pairs. A pair that finds itself from both ends counts at one of them.
 
-A cell with more than MOST classes is dealt to blocks, and each pair of blocks is a group of its own.
+A cell with more than MOST classes or visitors is dealt to blocks of each, and each pair of blocks of classes, and of a
+block of classes and one of visitors, is a group of its own.
 
 Cases: a null label or vec_id, and a vector that is null, zero, or holds null or non-finite components, links with
 nothing (component_id is the row's own vec_id); vectors of different lengths compare as if filled with zeros; repeated
@@ -95,16 +97,20 @@ def fitted(unit: np.ndarray, k: int, limit: float, target: float = TARGET) -> In
     """Codebooks of a sample, and the slack with which visits from a vector find target of partners turned away from it to the limit."""
     draw = np.random.default_rng(0)
     half = unit.shape[1] // 2
-    index = Index(codebook(unit[:, :half], k, draw), codebook(unit[:, half:], k, draw), 0.0)
+    fit, unit = (unit[::2], unit[1::2]) if len(unit) >= max(64, 8 * k) else (unit, unit)
+    index = Index(codebook(fit[:, :half], k, draw), codebook(fit[:, half:], k, draw), 0.0)
     other = draw.normal(size=unit.shape)
     other -= (other * unit).sum(axis=1, keepdims=True) * unit
     other /= np.maximum(1e-12, np.linalg.norm(other, axis=1, keepdims=True))
     partner = limit * unit + np.sqrt(1 - limit * limit) * other
-    home = index.homes(partner)
-    a, b = index.distances(unit)
-    need = np.take_along_axis(a, home[:, None] // len(index.right), 1)[:, 0] + np.take_along_axis(b, home[:, None] % len(index.right), 1)[:, 0] - a.min(axis=1) - b.min(axis=1)
+
+    def need(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The slack with which x visits the home of y."""
+        home, (a, b) = index.homes(y), index.distances(x)
+        return np.take_along_axis(a, home[:, None] // len(index.right), 1)[:, 0] + np.take_along_axis(b, home[:, None] % len(index.right), 1)[:, 0] - a.min(axis=1) - b.min(axis=1)
+
     # a pair is lost only if neither end visits the other's cell
-    index.slack = float(np.quantile(need, min(1.0, 1 - np.sqrt(1 - target)))) + 1e-9
+    index.slack = float(np.quantile(np.minimum(need(unit, partner), need(partner, unit)), target)) + 1e-9
     return index
 
 
@@ -125,6 +131,8 @@ def usable(label, vec_id, vector) -> F.Column:
 def cell_links(unit: np.ndarray, label: np.ndarray, count: np.ndarray, home: np.ndarray, own: np.ndarray, visits: list, limit: float, among: bool) -> tuple[np.ndarray, np.ndarray]:
     """Within one group: links of each row by their counts, and a forest over rows. own: at home here (the others visit); among: whether the homes meet each other here."""
     links, parent = np.zeros(len(unit), np.int64), np.arange(len(unit))
+    width = 1 + max(int(home.max(initial=0)), max((max(v, default=0) for v in visits), default=0))
+    visited = np.array([k * width + cell for k, v in enumerate(visits) if own[k] for cell in v], np.int64)
     homes = np.flatnonzero(own)
     for at in range(0, len(unit), 1024):
         some = np.arange(at, min(at + 1024, len(unit)))
@@ -135,7 +143,8 @@ def cell_links(unit: np.ndarray, label: np.ndarray, count: np.ndarray, home: np.
         i, j = i[once], j[once]
         if len(i):
             # both ends visit each other: the one with the smaller home counts it
-            back = np.array([not own[x] and home[x] > home[y] and home[x] in visits[y] for x, y in zip(i, j, strict=True)], bool) if not own[some].all() else np.zeros(len(i), bool)
+            back = ~own[i] & (home[i] > home[j])
+            back[back] = np.isin(j[back] * width + home[i[back]], visited)
             i, j = i[~back], j[~back]
             np.add.at(links, i, count[j])
             np.add.at(links, j, count[i])
@@ -160,11 +169,17 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            home = index.homes(unit_rows(batch.column(1).to_pylist(), size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(home)], ["label", "cell"])
-
-    sizes = classes.select("label", "embedding").mapInArrow(place, "label string, cell long").groupBy("label", "cell").count().filter(F.col("count") > MOST)
-    blocks = {(r["label"], r["cell"]): -(-r["count"] // MOST) for r in sizes.collect()}  # at most a row for each MOST classes
+            for at in range(0, batch.num_rows, 2048):
+                unit = unit_rows(batch.column(1).slice(at, 2048).to_pylist(), size)
+                home, visits = index.homes(unit), index.visits(unit)
+                cells = [[h, *(c for c in v if c != h)] for h, v in zip(home.tolist(), visits, strict=True)]
+                take = pa.array(np.repeat(np.arange(at, at + len(cells)), [len(c) for c in cells]))
+                first = np.concatenate([np.arange(len(c)) == 0 for c in cells])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(cells)), pa.array(first.astype(np.int64))], ["label", "cell", "home"])
+
+    sizes = classes.select("label", "embedding").mapInArrow(place, "label string, cell long, home long").groupBy("label", "cell").agg(F.sum("home").alias("homes"), F.sum(1 - F.col("home")).alias("visitors"))
+    # at most a row for each MOST classes or visits
+    blocks = {(r["label"], r["cell"]): (-(-r["homes"] // MOST), -(-r["visitors"] // MOST)) for r in sizes.filter((F.col("homes") > MOST) | (F.col("visitors") > MOST)).collect()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -177,14 +192,15 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93) -> DataFrame:
                 out: list[tuple[int, int, int, int, bool]] = []
                 for k in range(len(reps)):
                     for cell in dict.fromkeys([home[k], *visits[k]]):
-                        n = blocks.get((label[k], cell), 1)
-                        mine = reps[k] * 0x9E3779B1 % (1 << 32) % n
+                        n, v = blocks.get((label[k], cell), (1, 0))
+                        key = reps[k] * 0x9E3779B1 % (1 << 32)
                         if cell == home[k]:
-                            out += [(k, cell, mine, c, False) for c in range(mine + 1, n)] + [(k, cell, c, mine, True) for c in range(mine + 1)]
-                            if n > 1:
-                                out += [(k, cell, n + c, mine, True) for c in range(n)]
+                            mine = key % max(1, n)
+                            out += [(k, cell, mine, c, False) for c in range(mine + 1, n)] + [(k, cell, c, mine, True) for c in range(mine + 1)] + [(k, cell, n + c, mine, True) for c in range(v)]
+                        elif v:
+                            out += [(k, cell, n + key % v, c, False) for c in range(n)]
                         else:
-                            out += [(k, cell, n + mine if n > 1 else 0, c, False) for c in range(n)]
+                            out.append((k, cell, 0, 0, False))
                 take = pa.array([x[0] for x in out])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(take), *(pa.array([x[i] for x in out], pa.int64()) for i in (1, 2, 3)), pa.array([x[4] for x in out], pa.bool_()),
