@@ -1,18 +1,19 @@
 """Token-id files: a static range asymmetric numeral system over interleaved lanes, in independent blocks.
 
 One frequency table, counted over all ids, is shared by all files. A file holds whole documents in ascending order of
-doc_id; their ids form one run that is cut into blocks of BLOCK ids. A block is coded by itself in up to LANES lanes,
-id i in lane i mod lanes, so that one numpy step codes an id of every lane. Every CHECKPOINT steps a block keeps the
-lanes' states and its place in the words; decoding can begin at any of them, so parts of a block decode in parallel.
+doc_id; their ids form one run that is cut into blocks of BLOCK ids. A block is coded by itself in up to LANES lanes (one
+for each LANE ids), id i in lane i mod lanes, so that one numpy step codes an id of every lane. Every CHECKPOINT steps a
+part begins: the block keeps the lanes' states, the place in the words and the checksum of the part's ids. Files are
+decoded in parallel by these checkpoints: a task gets the documents that begin in UNIT ids and reads no words before them.
 
     file    magic, blocks, index, tail
-    block   ids u4, lanes u4, words u4, checkpoints u4, crc32 of the ids u4, crc32 of what follows u4,
-            then the start states u8 x lanes, checkpoints (words read u8, states u8 x lanes), words u4
+    block   ids u4, lanes u4, words u4, parts u4, crc32 of the parts u4; for each part the words before it u8, the
+            crc32 of its ids u4, zero u4, the lanes' states u8 x lanes; words u4
     index   (zlib) documents u8, blocks u8, doc_ids i8, null marks u1, lengths u8, block offsets u8, first ids u8
     tail    offset of the index u8, its crc32 u4, magic
 
 Cases: a null or empty text has no ids but the end id; a null doc_id comes first; equal doc_ids lie side by side,
-ordered by their ids; an empty table gives no file; other columns are not read.
+ordered by a hash of their ids; an empty table gives no file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,9 +37,14 @@ SCALE = 20  #: bits of the sum of all frequencies: no vocabulary may have more i
 LOW = 1 << 31  #: least state; the states' words are 32 bits
 BLOCK = 1 << 20
 LANES = 4096
-CHECKPOINT = 128
+LANE = 128  #: ids for which a small block gets a lane
+CHECKPOINT = 64
+UNIT = LANES * CHECKPOINT  #: ids of a part of a whole block
 FILE_IDS = 1 << 24  #: a file ends with the document that reaches so many ids
-HEAD = struct.Struct("<6I")
+FILE_DOCS = 1 << 18  #: or that is the last of so many
+TASKS = 1 << 14  #: most tasks that read files
+HEAD = struct.Struct("<5I")
+PART = struct.Struct("<QII")
 TAIL = struct.Struct("<QI8s")
 CORRUPT = "corrupt block or index"
 
@@ -78,62 +84,64 @@ class Table:
 
 def encode_block(ids: np.ndarray, table: Table) -> bytes:
     """One block. The coder runs from the last id to the first, so that the decoder runs forward."""
-    n, lanes = len(ids), min(LANES, len(ids))
+    n, lanes = len(ids), max(1, min(LANES, len(ids) // LANE))
     steps = -(-n // lanes)
     x = np.full(lanes, LOW, np.uint64)
     shift, half, mask = np.uint64(63 - SCALE), np.uint64(32), np.uint64(0xFFFFFFFF)
-    parts: list[np.ndarray] = []
-    marks: list[tuple[int, np.ndarray]] = []
+    words: list[np.ndarray] = []
+    marks: list[tuple[int, int, np.ndarray]] = []
     count = 0
     for step in range(steps - 1, -1, -1):
         part = ids[step * lanes : (step + 1) * lanes]
         f, c, state = table.freq[part], table.start[part], x[: len(part)]
         over = state >= f << shift
         if over.any():
-            parts.append((state[over] & mask).astype("<u4"))
-            count += len(parts[-1])
+            words.append((state[over] & mask).astype("<u4"))
+            count += len(words[-1])
             state = np.where(over, state >> half, state)
         whole = state // f
         x[: len(part)] = (whole << np.uint64(SCALE)) + (state - whole * f) + c
-        if step and step % CHECKPOINT == 0:
-            marks.append((count, x.copy()))
-    words = np.concatenate(parts[::-1]) if parts else np.empty(0, "<u4")
-    body = b"".join([x.astype("<u8").tobytes(), *(struct.pack("<Q", count - at) + s.astype("<u8").tobytes() for at, s in reversed(marks)), words.tobytes()])
-    return HEAD.pack(n, lanes, len(words), len(marks), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
-
-
-def block_size(head: bytes) -> int:
-    """Bytes of a block after its head."""
-    _, lanes, words, marks, _, _ = HEAD.unpack(head)
-    return 8 * lanes + marks * (8 + 8 * lanes) + 4 * words
-
-
-def decode_block(head: bytes, body: bytes, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
-    """The ids of a block, or of its checkpointed parts from first to before last (part p begins at step p * CHECKPOINT)."""
-    n, lanes, n_words, marks, ids_crc, crc = HEAD.unpack(head)
-    if zlib.crc32(body) != crc:
+        if step % CHECKPOINT == 0:
+            marks.append((count, zlib.crc32(ids[step * lanes : (step + CHECKPOINT) * lanes].astype("<u4").tobytes()), x.astype("<u8")))
+    parts = b"".join(PART.pack(count - at, crc, 0) + states.tobytes() for at, crc, states in reversed(marks))
+    data = np.concatenate(words[::-1]).tobytes() if words else b""
+    return HEAD.pack(n, lanes, count, len(marks), zlib.crc32(parts)) + parts + data
+
+
+def decoded(source, offset: int, table: Table, first: int = 0, last: int | None = None) -> Iterator[np.ndarray]:
+    """The ids of a block, part by part, from part first to before part last. Reads only those parts' words; checks the ids, the words' number and the states that the next part begins with."""
+    source.seek(offset)
+    n, lanes, n_words, count, crc = HEAD.unpack(source.read(HEAD.size))
+    size = PART.size + 8 * lanes
+    parts = source.read(count * size)
+    if zlib.crc32(parts) != crc or len(parts) != count * size:
         raise ValueError(CORRUPT)
-    at = 8 * lanes + (first - 1) * (8 + 8 * lanes) if first else 0
-    words = np.frombuffer(body, "<u4", n_words, len(body) - 4 * n_words)
-    w = struct.unpack_from("<Q", body, at)[0] if first else 0
-    x = np.frombuffer(body, "<u8", lanes, at + 8 * bool(first)).astype(np.uint64)
-    begin, end = first * CHECKPOINT * lanes, n if last is None else min(n, last * CHECKPOINT * lanes)
-    out = np.empty(end - begin, np.uint32)
+    begins = [PART.unpack_from(parts, p * size)[:2] for p in range(count)] + [(n_words, 0)]
     scale, half, mask, of_slot = np.uint64(SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1), table.of_slot
-    for i in range(begin, end, lanes):
-        state = x[: min(lanes, end - i)]
-        slot = state & mask
-        part = of_slot[slot]
-        state = table.freq[part] * (state >> scale) + slot - table.start[part]
-        under = np.flatnonzero(state < LOW)
-        if len(under):
-            state[under] = (state[under] << half) | words[w : w + len(under)]
-            w += len(under)
-        x[: len(state)] = state
-        out[i - begin : i - begin + len(part)] = part
-    if not first and end == n and zlib.crc32(out.astype("<u4").tobytes()) != ids_crc:
-        raise ValueError(CORRUPT)
-    return out
+    for p in range(first, count if last is None else min(last, count)):
+        source.seek(offset + HEAD.size + len(parts) + 4 * begins[p][0])
+        words = np.frombuffer(source.read(4 * (begins[p + 1][0] - begins[p][0])), "<u4")
+        x = np.frombuffer(parts, "<u8", lanes, p * size + PART.size).astype(np.uint64)
+        begin, end, w = p * CHECKPOINT * lanes, min(n, (p + 1) * CHECKPOINT * lanes), 0
+        out = np.empty(end - begin, np.uint32)
+        try:
+            for i in range(begin, end, lanes):
+                state = x[: min(lanes, end - i)]
+                slot = state & mask
+                part = of_slot[slot]
+                state = table.freq[part] * (state >> scale) + slot - table.start[part]
+                under = np.flatnonzero(state < LOW)
+                if len(under):
+                    state[under] = (state[under] << half) | words[w : w + len(under)]
+                    w += len(under)
+                x[: len(state)] = state
+                out[i - begin : i - begin + len(part)] = part
+        except (ValueError, IndexError) as error:  # damaged words lead past their end
+            raise ValueError(CORRUPT) from error
+        then = np.frombuffer(parts, "<u8", lanes, (p + 1) * size + PART.size) if p + 1 < count else np.full(lanes, LOW, np.uint64)
+        if zlib.crc32(out.astype("<u4").tobytes()) != begins[p][1] or w != len(words) or (x != then).any():
+            raise ValueError(CORRUPT)
+        yield out
 
 
 class Writer:
@@ -197,25 +205,38 @@ def read_index(source) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(docs, null, strict=True)], lengths, offsets
 
 
-def read_documents(source, table: Table) -> Iterator[tuple[int | None, Iterator[np.ndarray]]]:
-    """The documents of a file in order, each as the runs of ids that its blocks hold; one block is decoded at a time."""
+def read_documents(source, table: Table, unit: int | None = None) -> Iterator[tuple[int | None, int, Iterator[np.ndarray]]]:
+    """The documents of a file in order, or of those the ones that begin in the unit-th UNIT ids: doc_id, place of the first
+    id in the file, and the runs of ids that its parts hold. One part is decoded at a time."""
     docs, lengths, offsets = read_index(source)
-    blocks = iter(offsets)
+    ends = np.cumsum(lengths.astype(np.int64))
+    starts = ends - lengths.astype(np.int64)
+    low, high = (0, len(docs)) if unit is None else np.searchsorted(starts, [unit * UNIT, (unit + 1) * UNIT])
+    at = 0 if unit is None else unit * UNIT
     held = np.empty(0, np.uint32)
 
+    def parts() -> Iterator[np.ndarray]:
+        block, part = divmod(at, BLOCK)
+        for offset in offsets[block:].tolist():
+            yield from decoded(source, offset, table, part // UNIT)
+            part = 0
+
+    coming = parts()
+
     def runs(left: int) -> Iterator[np.ndarray]:
         nonlocal held
         while left:
             if not len(held):
-                source.seek(int(next(blocks)))
-                head = source.read(HEAD.size)
-                held = decode_block(head, source.read(block_size(head)), table)
-            part, held = held[:left], held[left:]
-            left -= len(part)
-            yield part
+                held = next(coming)
+            some, held = held[:left], held[left:]
+            left -= len(some)
+            yield some
 
-    for doc, n in zip(docs, lengths, strict=True):
-        yield doc, runs(int(n))
+    if low < high:
+        for _ in runs(int(starts[low]) - at):  # what a document before it holds of this unit
+            pass
+    for k in range(low, high):
+        yield docs[k], int(starts[k]), runs(int(lengths[k]))
 
 
 def tokenised(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
@@ -233,7 +254,8 @@ def tokenised(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     wide = id_width(vocabulary_path)
-    return written(own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary"), "ids")
+    made = own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "ids")  # written, so a row keeps its number
 
 
 def id_width(vocabulary_path: str) -> int:
@@ -290,7 +312,7 @@ def write_files(ids: DataFrame, table: Table, folder: str, wide: int) -> DataFra
                     name = f"part-{context.partitionId():06d}-{seq:05d}-{context.taskAttemptId()}.rans"
                     writer = Writer(fs.open_output_stream(f"{base}/{name}"), own)
                 writer.add(doc, unpacked(packed, wide))
-                if writer.total + writer.held >= FILE_IDS:
+                if writer.total + writer.held >= FILE_IDS or len(writer.docs) >= FILE_DOCS:
                     close()
                     seq, writer = seq + 1, None
         if writer is not None:
@@ -298,7 +320,9 @@ def write_files(ids: DataFrame, table: Table, folder: str, wide: int) -> DataFra
         yield as_batch(done, schema)
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    ordered = ids.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
+    # rows that share a doc_id, or have none, can be cut apart by the hash of their ids and by their number
+    ordered = ids.select("doc_id", "ids", F.xxhash64("ids").alias("hash"), "row").repartitionByRange(F.asc_nulls_first("doc_id"), "hash", "row")
+    ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash", "row").select("doc_id", "ids")
     return written(ordered.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"), "manifest")
 
 
@@ -308,7 +332,7 @@ def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_files(manifest: DataFrame, table: Table) -> DataFrame:
-    """Reads files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. A task decodes whole files, one block at a time.
+    """Reads files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. A file's checkpoints deal it to tasks: a row (path, unit) is decoded by itself.
 
     The running sum over the manifest is the only step in one task; it has a row for each file, not for each document.
     """
@@ -317,16 +341,15 @@ def read_files(manifest: DataFrame, table: Table) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Table(freq)
         for batch in batches:
-            for path, start in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            for path, start, unit in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 fs, name = file_system(path)
                 rows: list[tuple] = []
                 with fs.open_input_file(name) as source:
-                    for doc, runs in read_documents(source, own):
+                    for doc, at, runs in read_documents(source, own, unit):
                         n = crc = 0
                         for part in runs:
                             n, crc = n + len(part), zlib.crc32(part.astype("<u4").tobytes(), crc)
-                        rows.append((doc, start, n, crc))
-                        start += n
+                        rows.append((doc, start + at, n, crc))
                         if len(rows) == 4096:
                             yield as_batch(rows, schema)
                             rows = []
@@ -334,8 +357,9 @@ def read_files(manifest: DataFrame, table: Table) -> DataFrame:
 
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "start")
-    return files.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    units = written(files.select("path", "start", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n_tokens - 1) div {UNIT} as int)"))).alias("unit")), "units")
+    return units.repartition(max(1, min(TASKS, units.count()))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:

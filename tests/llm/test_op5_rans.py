@@ -24,9 +24,7 @@ def test_blocks(ids, times):
     table = table_of(ids)
     assert table.freq.sum() == 1 << rans.SCALE
     block = rans.encode_block(ids, table)
-    head, body = block[: rans.HEAD.size], block[rans.HEAD.size :]
-    assert rans.block_size(head) == len(body)
-    assert (rans.decode_block(head, body, table) == ids).all()
+    assert (np.concatenate(list(rans.decoded(io.BytesIO(block), 0, table))) == ids).all()
 
 
 def test_parts_decode_alone():
@@ -35,13 +33,15 @@ def test_parts_decode_alone():
     ids = ids.astype(np.uint32)
     table = table_of(ids)
     block = rans.encode_block(ids, table)
-    head, body = block[: rans.HEAD.size], block[rans.HEAD.size :]
-    parts = 1 + rans.HEAD.unpack(head)[3]
+    parts = rans.HEAD.unpack(block[: rans.HEAD.size])[3]
     assert parts > 1
-    assert (np.concatenate([rans.decode_block(head, body, table, p, p + 1) for p in range(parts)]) == ids).all()
+    assert (np.concatenate([x for p in range(parts) for x in rans.decoded(io.BytesIO(block), 0, table, p, p + 1)]) == ids).all()
     assert len(block) < 2 * len(ids)
-    with pytest.raises(ValueError):
-        rans.decode_block(head, body[:-1] + bytes([body[-1] ^ 1]), table)
+    for at in (len(block) - 1, rans.HEAD.size + 40):
+        with pytest.raises(ValueError):
+            list(rans.decoded(io.BytesIO(block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :]), 0, table))
+    small = rans.encode_block(ids[:3000], table)
+    assert len(small) < 2.2 * 3000
 
 
 def test_files():
@@ -53,9 +53,14 @@ def test_files():
     for doc, ids in docs:
         writer.add(doc, ids)
     writer.close()
-    back = [(doc, np.concatenate(list(runs))) for doc, runs in rans.read_documents(pa.PythonFile(io.BytesIO(out.getvalue()), mode="r"), table)]
-    assert [d for d, _ in back] == [d for d, _ in docs]
-    assert all((a == b).all() for (_, a), (_, b) in zip(docs, back, strict=True))
+    source = pa.PythonFile(io.BytesIO(out.getvalue()), mode="r")
+    total = sum(len(x) for _, x in docs)
+    units = [[(doc, at, np.concatenate(list(runs))) for doc, at, runs in rans.read_documents(source, table, unit)] for unit in (None, *range(-(-total // rans.UNIT)))]
+    for back in (units[0], [x for u in units[1:] for x in u]):
+        assert [d for d, *_ in back] == [d for d, _ in docs]
+        assert [at for _, at, _ in back] == [sum(len(x) for _, x in docs[:k]) for k in range(len(docs))]
+        assert all((a == b).all() for (_, a), (*_, b) in zip(docs, back, strict=True))
+    assert len(units) > 3 and not all(units[1:])  # a unit within a long document has none of its own
 
 
 def test_skewed_and_empty_tables():
