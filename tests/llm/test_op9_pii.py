@@ -74,6 +74,46 @@ def test_repeated_tokens_agree():
     assert alone[1].argmax() == 0 and agreed[1].argmax() == 4
 
 
+def test_similar_tokens_are_joined():
+    made = pii.tokens_of(["a1@x-mail.org b2@x-mail.org a1@x-mail.org 7"])
+    assert made.skip.tolist() == [-1, -1, 0, -1] and made.like.tolist() == [-1, 0, 1, -1]
+    nodes = np.zeros((1 << pii.BITS, 5))
+    nodes[made.found[0, 3], 1] = 6.0  # the first token's empty left side
+    base = pii.Field(nodes, np.array([0.5, 0, 0, 0, 0]), np.zeros((5, 5)), np.zeros((5, 5)))
+    agreed = pii.Field(nodes, base.bias, base.chain, base.skip, 3 * np.eye(5))
+    assert base.marginals(made)[1].argmax() == 0 and agreed.marginals(made)[1].argmax() == 1
+
+
+def test_slices_change_nothing(monkeypatch):
+    draw = np.random.default_rng(5)
+    made = pii.tokens_of([" ".join(str(x) for x in draw.integers(0, 300, 400)) for _ in range(3)])
+    model = pii.Field(draw.normal(size=(1 << pii.BITS, 5)), draw.normal(size=5), *draw.normal(size=(3, 5, 5)))
+    whole = model.marginals(made)
+    monkeypatch.setattr(pii, "EDGES", 7)
+    assert np.allclose(model.marginals(made), whole)
+    monkeypatch.setattr(pii, "SLICE", 50)
+    batch = pii.pa.RecordBatch.from_arrays([pii.pa.array(range(5)), pii.pa.array(["a" * 60, "b", None, "c" * 49, "d"])], ["doc_id", "text"])
+    assert [x.column(0).to_pylist() for x in pii.slices(batch)] == [[0], [1, 2, 3], [4]]
+
+
+def test_fitted_field_finds_what_patterns_miss(spark):
+    """Numbers in the places of phone numbers, but without their plus sign: the patterns find none of them, the field fitted on the patterns' own labels does; clean texts stay clean."""
+    draw = random.Random(4)
+    number = lambda: f"{draw.randint(200, 999)}555{draw.randint(1000, 9999)}"
+    rows = []
+    for i in range(1500):
+        room = draw.randint(1, 99)
+        rows.append((i, f"Write to us. Phone +1{number()} is free today, in room {room} we have {draw.randint(2, 40)} seats. Room {room} is ours."))
+    rows += [(2000 + i, f"Phone +1{(x := number())} is free. Later on, page 7, phone 1{x} is free, too.") for i in range(100)]
+    rows += [(3000 + i, f"In room {draw.randint(1, 99)} we have {draw.randint(2, 40)} seats and {draw.randint(100, 999)} books.") for i in range(100)]
+    texts = dict(rows)
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {i: [texts[i][s:e] for s, e, k in x if k == "crf_phone"] for i, x in got.items()}
+    assert not any(brute(texts[i])[1:] for i in range(2000, 2100))  # the patterns find the first number alone
+    assert sum(len(added[2000 + i]) == 1 and added[2000 + i][0].isdigit() for i in range(100)) > 90
+    assert not any(got[3000 + i] for i in range(100)) and all(len(got[i]) == 1 for i in range(1500))
+
+
 def test_query(spark, tmp_path):
     from sampleweave.llm.queries import op9_pii
 
