@@ -29,6 +29,7 @@ from sampleweave.llm.shared import file_system, new_path, own_columns, removed,
 
 LEAST = 1000
 FILE_BYTES = 1 << 26  #: a file ends with the record that reaches so many bytes before compression
+TASKS = 1 << 14  #: most tasks that read files
 STEP = 1 << 20  #: bytes that are read, and at most four times as many inflated, at once
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -159,7 +160,8 @@ def manifest_batch(done: list[tuple[str, int]]) -> pa.RecordBatch:
 
 
 def spread(manifest: DataFrame) -> DataFrame:
-    return manifest.repartition(max(1, manifest.count()))
+    """A file to a task, or several where there are more than TASKS."""
+    return manifest.repartition(max(1, min(TASKS, manifest.count())))
 
 
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
