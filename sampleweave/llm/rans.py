@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sampleweave.llm import tokens
-from sampleweave.llm.shared import at_work, file_system, new_path, own_columns, written
+from sampleweave.llm.shared import at_work, discard, file_system, new_path, own_columns, written
 
 MAGIC = b"SWRANS01"
 SCALE = 20  #: bits of the sum of all frequencies: no vocabulary may have more ids than 2**SCALE
@@ -367,4 +367,6 @@ def round_trip(spark: SparkSession, docs: DataFrame, vocabulary_path: str, end_i
     wide = id_width(vocabulary_path)
     ids = tokenised(docs, vocabulary_path, end_id)
     table = counted(ids, wide)
-    return read_files(write_files(ids, table, new_path(spark, "token-files"), wide), table)
+    manifest = write_files(ids, table, new_path(spark, "token-files"), wide)
+    discard(ids)
+    return read_files(manifest, table)

@@ -43,7 +43,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -55,6 +57,12 @@ def removed(spark: SparkSession, path: str) -> None:
         MADE.remove(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        removed(table.sparkSession, table.written_at)
+
+
 def remove_all(spark: SparkSession) -> None:
     """Deletes every intermediate of this driver; call it when no result that reads one is needed any more."""
     for path in list(MADE):
@@ -106,11 +114,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        smallest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         down = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        pairs = written(down.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        last, pairs = pairs, written(down.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        discard(smallest, large, least, last)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if before == now:
             break

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampleweave.llm.shared import at_work, components, own_columns, written
+from sampleweave.llm.shared import at_work, components, discard, own_columns, written
 
 SEED = 42
 SAMPLE = 1 << 16  #: most fingerprints on which the top of the tree is fitted
@@ -603,12 +603,17 @@ def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8
     reps = made.filter("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "shingles")).alias("r"))
     reps = written(reps.select("node", "r.doc_id", "r.text_hash", "r.shingles"), "classes")
     bits = loose_bits(similarity)
-    loose = components(written(part_links(written(made.select("node", "fingerprint").distinct(), "distinct"), bits), "pairs"))
+    distinct = written(made.select("node", "fingerprint").distinct(), "distinct")
+    pairs = written(part_links(distinct, bits), "pairs")
+    loose = components(pairs)
+    discard(distinct, pairs)
     texts = docs if repeated(made.filter("doc_id is not null")).isEmpty() else keyed(docs).dropDuplicates(["doc_id", "text_hash"])
-    found = components(written(exact_links(texts, reps, loose, words_per_shingle, bits, similarity), "links"))
+    linked_ = written(exact_links(texts, reps, loose, words_per_shingle, bits, similarity), "links")
+    found = components(linked_)
     classes = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
     known = written(classes.join(best, "component").select("node", F.col("best.doc_id").alias("component_id"), F.col("best.text_hash").alias("best_hash")), "known")
+    discard(linked_, reps)
     kept = F.col("component_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("best_hash")))
     return made.select("doc_id", "text_hash", "node").join(known, "node", "left").select("doc_id", "text_hash", "component_id", kept.alias("kept"))
 
