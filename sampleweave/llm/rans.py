@@ -39,7 +39,8 @@ BLOCK = 1 << 20
 LANES = 4096
 LANE = 128  #: ids for which a small block gets a lane
 CHECKPOINT = 64
-UNIT = LANES * CHECKPOINT  #: ids of a part of a whole block
+PART_IDS = LANES * CHECKPOINT  #: ids of a part of a whole block
+UNIT = 8 * PART_IDS  #: ids whose documents a task reads
 FILE_IDS = 1 << 24  #: a file ends with the document that reaches so many ids
 FILE_DOCS = 1 << 18  #: or that is the last of so many
 TASKS = 1 << 14  #: most tasks that read files
@@ -218,7 +219,7 @@ def read_documents(source, table: Table, unit: int | None = None) -> Iterator[tu
     def parts() -> Iterator[np.ndarray]:
         block, part = divmod(at, BLOCK)
         for offset in offsets[block:].tolist():
-            yield from decoded(source, offset, table, part // UNIT)
+            yield from decoded(source, offset, table, part // PART_IDS)
             part = 0
 
     coming = parts()

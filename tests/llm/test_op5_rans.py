@@ -44,7 +44,8 @@ def test_parts_decode_alone():
     assert len(small) < 2.2 * 3000
 
 
-def test_files():
+def test_files(monkeypatch):
+    monkeypatch.setattr(rans, "UNIT", rans.PART_IDS)
     draw = np.random.default_rng(4)
     docs = [(None if i == 0 else i, draw.integers(0, 5000, size=n).astype(np.uint32)) for i, n in enumerate([1, 5, 700_000, 1, 300_000, 2])]
     table = table_of(*(x for _, x in docs))
