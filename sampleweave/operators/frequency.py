@@ -39,15 +39,14 @@ def per_chunk(samples: DataFrame, size: int, history: int, compute: Callable[[di
 
 
 def from_neighbours(y: np.ndarray, sample_rate: float, epsilon: float = 1e-8) -> float | None:
-    """A sine's frequency from the sums of each sample's neighbours: cos of twice the step's angle by least squares."""
-    centre, sides = y[1:-1], y[:-2] + y[2:]
-    use = np.abs(4 * centre) >= epsilon
-    a, b = sides[use] ** 2 / (4 * centre[use]), centre[use]
-    power = float((b * b).sum())
-    if power <= epsilon:
+    """A sine's frequency from its samples' energy. The two neighbours of a sample of a sine add up to the sample times
+    twice the cosine of a step's angle, so their energy is 2 + 2 cos(two steps) times that of the samples."""
+    inner, around = y[1:-1], y[:-2] + y[2:]
+    energy = float(inner @ inner)
+    if energy <= epsilon:
         return None
-    z = float((2 * a * b).sum()) / power - 1
-    return None if abs(z) >= 1 else sample_rate / (4 * math.pi) * math.acos(z)
+    turn = float(around @ around) / (2 * energy) - 1
+    return math.acos(turn) / (2 * math.tau) * sample_rate if -1 < turn < 1 else None
 
 
 def time_domain(samples: DataFrame, sample_rate: float = 1e3, f_min: float = 40.0, f_expected: float = 50.0, f_max: float = 60.0, n_periods: int = 4, chunk: int = 100) -> DataFrame:

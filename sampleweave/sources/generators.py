@@ -62,16 +62,20 @@ def signal_generator(spark: SparkSession, n: int, kind: str = "Sin", sample_rate
 def ramp(kind: Column, t: Column, start: Column, final: Column, duration: Column, round_off: Column, impulse0: Column, impulse1: Column) -> Column:
     """Const, LinearRamp, ParabolicRamp, CubicSpline, ImpulseResponse: the value at t after a segment's start."""
     u = t / F.nullif(duration, F.lit(0.0))
-    length = duration - 2 * round_off
-    bend = (final - start) / F.nullif(2 * round_off * (length + round_off), F.lit(0.0))
-    low = bend * round_off * round_off
-    slope = (final - start - 2 * low) / F.nullif(length, F.lit(0.0))
-    late = t - (duration - round_off)
-    parabola = F.when(t > duration, final).when(t < round_off, start + bend * t * t).when(t < duration - round_off, start + low + slope * (t - round_off)).otherwise(final - low + slope * late - bend * late * late)
+    line = start + (final - start) * u
+
+    def travelled(time: Column) -> Column:
+        """The way covered by a speed that grows at one unit a second from 0 until round_off and stays there."""
+        growing = F.greatest(F.lit(0.0), F.least(time, round_off))
+        return growing * growing / 2 + round_off * F.greatest(F.lit(0.0), time - round_off)
+
+    # a parabolic ramp speeds up, keeps its speed and slows down: the slowing is the same speeding-up taken off again
+    share = (travelled(t) - travelled(t - duration + round_off)) / F.nullif(round_off * (duration - round_off), F.lit(0.0))
+    parabola = F.coalesce(start + (final - start) * share, line)
     cubic = u * u * (3 - 2 * u)
     return (
-        F.when(kind == "LinearRamp", F.when(t > duration, final).otherwise(start + (final - start) * u))
-        .when(kind == "ParabolicRamp", parabola)
+        F.when(kind == "LinearRamp", F.when(t > duration, final).otherwise(line))
+        .when(kind == "ParabolicRamp", F.when(t > duration, final).otherwise(parabola))
         .when(kind == "CubicSpline", F.when(t > duration, final).otherwise(start + (final - start) * cubic))
         .when(kind == "ImpulseResponse", F.when((t < impulse0) | (t > impulse0 + impulse1), start).otherwise(final))
         .otherwise(start)
