@@ -17,7 +17,7 @@ BLOCK = 1 << 16  #: samples of a stream that one window partition holds, without
 SAMPLES = T.StructType([T.StructField("stream_id", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("value", T.DoubleType())])
 #: The canonical tag keys and their prefix.
 TAG_PREFIX = "gr:"
-TAG_KEYS = ["sample_rate", "signal_name", "num_channels", "signal_quantity", "signal_unit", "signal_min", "signal_max", "n_dropped_samples", "frequency", "rx_overflow", "trigger_name", "trigger_time", "trigger_offset", "trigger_meta_info", "context", "context_time", "reset_default", "store_default", "end_of_stream"]
+TAG_KEYS = ["sample_rate", "frequency", "signal_name", "num_channels", "signal_quantity", "signal_unit", "signal_min", "signal_max", "n_dropped_samples", "rx_overflow", "trigger_name", "trigger_time", "trigger_time_error", "trigger_offset", "trigger_meta_info", "user_data", "context", "ctx_time", "local_time", "reset_default", "store_default", "end_of_stream"]
 DATASET = "struct<timestamp:bigint,axis_names:array<string>,axis_units:array<string>,axis_values:array<array<double>>,extents:array<int>,layout:string,signal_names:array<string>,signal_quantities:array<string>,signal_units:array<string>,signal_values:array<double>,signal_ranges:array<struct<min:double,max:double>>,meta:array<map<string,string>>,timing_events:array<array<struct<idx:bigint,tag:map<string,string>>>>>"
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleweave.functions.scalars import MATH, linear_interpolate
@@ -25,15 +25,24 @@ def attach_tags(samples: DataFrame, tags: DataFrame) -> DataFrame:
     return samples.join(lists, ["stream_id", "idx"], "left")
 
 
-def as_of(rows: DataFrame, presets: DataFrame, key: str, time: str, value: str, valid_from: str = "valid_from") -> DataFrame:
+def as_of(rows: DataFrame, presets: DataFrame, key: str, time: str, value: str, valid_from: str = "valid_from", bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """rows with the value of their key's last preset that began at or before their time.
 
-    A union and a forward fill in place of a range join; keys with long histories are filled in blocks of time rank.
+    A union and a forward fill in place of a range join. A key is filled in one task, unless bucket is given: a function of
+    the time that never falls as it grows (such as its month). Then a task fills a bucket of a key, which starts with the
+    last preset of the buckets before it, one row for each bucket.
     """
     side = presets.select(F.col(key).alias("_k"), F.col(valid_from).alias("_t"), F.struct(F.col(value).alias("v")).alias("_preset"), F.lit(0).alias("_order"), F.lit(None).cast(rows.schema.simpleString()).alias("_row"))
     main = rows.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(None).cast(side.schema["_preset"].dataType.simpleString()).alias("_preset"), F.lit(1).alias("_order"), F.struct(*rows.columns).alias("_row"))
-    w = Window.partitionBy("_k").orderBy("_t", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    filled = side.union(main).withColumn("_found", F.last("_preset", ignorenulls=True).over(w)).filter("_order = 1")
+    both = side.union(main).withColumn("_b", bucket(F.col("_t")) if bucket else F.lit(0))
+    w = Window.partitionBy("_k", "_b").orderBy("_t", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_found", F.last("_preset", ignorenulls=True).over(w)).filter("_order = 1")
+    if bucket:
+        ends = side.withColumn("_b", bucket(F.col("_t"))).groupBy("_k", "_b").agg(F.max_by("_preset", "_t").alias("_end"))
+        held = both.select("_k", "_b").distinct().join(ends, ["_k", "_b"], "left")
+        earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.select("_k", "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+        filled = filled.join(held, ["_k", "_b"]).withColumn("_found", F.coalesce("_found", "_before"))
     return filled.select("_row.*", F.col("_found.v").alias(value))
 
 

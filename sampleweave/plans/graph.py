@@ -42,7 +42,7 @@ def plain(name: str, f: Build, inputs: tuple[str, ...] = ("in",)) -> None:
 
 for op in ("add", "subtract", "multiply", "divide"):
     plain(f"{op.capitalize()}Const", lambda s, value=1.0, op=op: elementwise.with_constant(s, op, value))
-    for ports in (2, 3, 4):
+    for ports in range(2, 33):
         plain(op.capitalize() + ("" if ports == 2 else str(ports)), lambda *s, op=op: elementwise.fold(s, op), tuple(f"in{i}" for i in range(ports)))
 plain("Copy", lambda s: s)
 plain("Head", lambda s, n_samples_max: select.head(s, n_samples_max))

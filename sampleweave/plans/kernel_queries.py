@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sampleweave.functions import cplx, scalars, uncertain
 from sampleweave.functions import tags as tag_functions
 from sampleweave.model import with_index
-from sampleweave.operators import align, dataset, design, elementwise, estimators, frequency, power, recursive, select, spectral, timing, trigger, window
+from sampleweave.operators import align, dataset, design, elementwise, estimators, frequency, monitor, power, recursive, select, spectral, timing, trigger, window
 from sampleweave.plans.graph import Graph
 from sampleweave.plans.registry import STREAM, query, r6, rounded
 from sampleweave.plans.sources_of_queries import datasets, indexed, signal, tags
@@ -95,7 +95,7 @@ def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(STREAM + " SELECT stream_id, count(*) AS n FROM s WHERE idx < 50 GROUP BY stream_id")
 def counting_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.head(signal(spark, sf_dir), 50).groupBy("stream_id").agg(F.count("*").alias("n"))
+    return monitor.counted(select.head(signal(spark, sf_dir), 50)).select("stream_id", "n")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(event_id % 7) AS BIGINT) AS checksum FROM events WHERE value > 20 GROUP BY event_type")

@@ -256,7 +256,7 @@ def settings_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.lit(694224000000000) + (F.col("k") + 1) * F.lit(86400000000) * F.col("j") * 30
     presets = presets.select("k", F.timestamp_micros(micros).alias("valid_from"), (F.col("j") * 10 + F.col("k")).cast("double").alias("preset"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 25).alias("k"), F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
-    return align.as_of(orders, presets, "k", "o_orderdate", "preset").select("o_orderkey", "preset")
+    return align.as_of(orders, presets, "k", "o_orderdate", "preset", bucket=lambda t: F.trunc(t, "month")).select("o_orderkey", "preset")
 
 
 @query(
@@ -438,3 +438,4 @@ def complex_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from sampleweave.plans import kernel_queries as _kernel_queries  # noqa: E402, F401  (registers its queries)
+from sampleweave.plans import block_queries as _block_queries  # noqa: E402, F401  (registers its queries)
