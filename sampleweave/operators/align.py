@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from sampleweave.functions.scalars import MATH, linear_interpolate
 from sampleweave.model import carried
 
+PIECE = 256  #: samples of a port that meet the segments of one block
+
 
 def sync_ports(streams: Sequence[DataFrame]) -> DataFrame:
     """Sample k of every stream side by side (v0, v1, ...), as far as the shortest goes."""
@@ -65,29 +67,31 @@ def matched_tags(tags: DataFrame, ports: int, tolerance: int) -> DataFrame:
 def sync_block(samples: DataFrame, tags: DataFrame, ports: int, tolerance: int = 5) -> tuple[DataFrame, DataFrame]:
     """Aligns ports on their sync tags. samples: stream_id, port, idx, value; tags: stream_id, port, idx, name, time.
 
-    Every port is cut at its matched tags. Before the first the last common samples stay, between two the first common
+    Every port, whose idx has no gap, is cut at its matched tags. Before the first the last common samples stay, between two the first common
     ones, after the last the first common ones. Returns the aligned samples, by a common idx, and each port's drops:
     the index of its first kept sample after a gap and the number of samples dropped there.
     """
     groups = matched_tags(tags, ports, tolerance)
     cuts = groups.withColumn("_seg", F.row_number().over(Window.partitionBy("stream_id").orderBy("time")))
     cut = cuts.select("stream_id", "_seg", F.explode("at").alias("port", "_from"))
-    ordered = Window.partitionBy("stream_id", "port")
-    rows = samples.join(cut.select("stream_id", "port", F.col("_from").alias("idx"), "_seg"), ["stream_id", "port", "idx"], "left")
-    rows = rows.withColumn("_seg", F.coalesce(F.last("_seg", ignorenulls=True).over(ordered.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    sizes = rows.groupBy("stream_id", "port", "_seg").agg(F.count("*").alias("_n"), F.min("idx").alias("_first"))
-    keys = groups.select("stream_id").distinct().join(cuts.select("stream_id", "_seg").union(groups.select("stream_id", F.lit(0)).distinct()), "stream_id")
-    all_sizes = keys.withColumn("port", F.explode(F.sequence(F.lit(0), F.lit(ports - 1)))).join(sizes, ["stream_id", "port", "_seg"], "left").fillna({"_n": 0})
-    kept = all_sizes.groupBy("stream_id", "_seg").agg(F.min("_n").alias("_kept"))
-    starts = kept.withColumn("_start", F.coalesce(F.sum("_kept").over(Window.partitionBy("stream_id").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = all_sizes.join(starts, ["stream_id", "_seg"]).withColumn("_skip", F.when(F.col("_seg") == 0, F.col("_n") - F.col("_kept")).otherwise(F.lit(0)))
-    out = rows.join(plan.drop("_n"), ["stream_id", "port", "_seg"])
-    place = F.col("idx") - F.col("_first") - F.col("_skip")
-    out = out.withColumn("_place", place).filter((F.col("_place") >= 0) & (F.col("_place") < F.col("_kept")))
-    aligned = out.select("stream_id", "port", (F.col("_start") + F.col("_place")).cast("long").alias("idx"), "value")
-    lost = plan.withColumn("_lost", F.col("_n") - F.col("_kept"))
-    last = F.max("_seg").over(Window.partitionBy("stream_id"))
-    lost = lost.withColumn("_last", last)
+    sizes = samples.groupBy("stream_id", "port").agg(F.min("idx").alias("_lead"), (F.max("idx") + 1).alias("_end"))
+    lead = F.struct(F.lit(0).alias("seg"), F.col("_lead").alias("first"))
+    own = F.struct(F.col("_seg").alias("seg"), F.col("_from").alias("first"))
+    cut = cut.join(sizes, ["stream_id", "port"]).withColumn("_s", F.explode(F.when(F.col("_seg") == 1, F.array(lead, own)).otherwise(F.array(own))))
+    of_port, of_segment = Window.partitionBy("stream_id", "port").orderBy("_seg"), Window.partitionBy("stream_id", "_seg")
+    plan = cut.select("stream_id", "port", F.col("_s.seg").alias("_seg"), F.col("_s.first").alias("_first"), "_end")
+    plan = plan.withColumn("_n", F.greatest(F.lit(0), F.lead("_first").over(of_port).isNull().cast("int") * F.col("_end") + F.coalesce(F.lead("_first").over(of_port), F.lit(0)) - F.col("_first")))
+    # a port without a sample has no segment and leaves nothing to align
+    plan = plan.withColumn("_kept", F.when(F.count("*").over(of_segment) == ports, F.min("_n").over(of_segment)).otherwise(0))
+    plan = plan.withColumn("_start", F.coalesce(F.sum("_kept").over(of_port.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    begin = F.col("_first") + F.when(F.col("_seg") == 0, F.col("_n") - F.col("_kept")).otherwise(0)
+    # samples meet their segment in an equi-join on short blocks of idx: no more candidates than a block has samples
+    pieces = plan.filter("_kept > 0").select("stream_id", "port", begin.alias("_begin"), "_kept", "_start")
+    pieces = pieces.withColumn("_block", F.explode(F.expr(f"sequence(_begin div {PIECE}, (_begin + _kept - 1) div {PIECE})")))
+    out = samples.withColumn("_block", F.expr(f"idx div {PIECE}")).join(pieces, ["stream_id", "port", "_block"])
+    place = F.col("idx") - F.col("_begin")
+    aligned = out.filter((place >= 0) & (place < F.col("_kept"))).select("stream_id", "port", (F.col("_start") + place).cast("long").alias("idx"), "value")
+    lost = plan.withColumn("_lost", F.col("_n") - F.col("_kept")).withColumn("_last", F.max("_seg").over(Window.partitionBy("stream_id")))
     # a gap shows at the first sample after it: the start for the lead, the next sync sample for the others; what follows the last tag is open
     where = F.when(F.col("_seg") == 0, F.lit(0)).otherwise(F.col("_start") + F.col("_kept"))
     drops = lost.filter("_lost > 0 and (_seg = 0 or _seg < _last)").select("stream_id", "port", where.cast("long").alias("idx"), F.col("_lost").cast("long").alias("n_dropped_samples"))

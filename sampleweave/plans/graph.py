@@ -2,7 +2,8 @@
 
 Blocks are made by registered type names, ports are connected and checked when the graph is built, sub-graphs export ports,
 and a graph is read from and written to a plain specification (JSON; YAML where that package is there). Spark plans
-have no cycles, so a cycle is an error unless one block holds it (recursive operators).
+have no cycles: a cycle of linear blocks becomes the recursion that it stands for (operators.feedback), each edge that
+closes a loop starting with one zero; any other cycle is an error unless one block holds it (recursive operators).
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.operators import elementwise, frequency, recursive, select, spectral, window
+from sampleweave.operators import elementwise, feedback, frequency, recursive, select, spectral, window
 from sampleweave.operators.design import fir_design, iir_design
+from sampleweave.operators.feedback import Transfer
 from sampleweave.sources import generators
 
 Build = Callable[..., Any]
@@ -92,6 +94,23 @@ def selector(spark, a: DataFrame, b: DataFrame, map_in: list[int] = (0, 1), map_
     return {f"out{k}": v for k, v in made.items()}
 
 
+plain("Delay", lambda s, n=1: Transfer.delay(n).applied(s))
+
+#: What linear blocks of one output do to each of their inputs, by their settings.
+LINEAR: dict[str, Callable[..., list[Transfer]]] = {
+    "MultiplyConst": lambda value=1.0: [Transfer.of([value])],
+    "DivideConst": lambda value=1.0: [Transfer.of([1 / value])],
+    "Copy": lambda: [Transfer()],
+    "Delay": lambda n=1: [Transfer.delay(n)],
+    "fir_filter": lambda b: [Transfer.of(b)],
+    "iir_filter": lambda b, a: [Transfer.of(b, a)],
+}
+for ports in range(2, 33):
+    label = "" if ports == 2 else str(ports)
+    LINEAR[f"Add{label}"] = lambda n=ports: [Transfer()] * n
+    LINEAR[f"Subtract{label}"] = lambda n=ports: [Transfer(), *[Transfer.of([-1.0])] * (n - 1)]
+
+
 @dataclass
 class Block:
     name: str
@@ -166,7 +185,7 @@ class Graph:
         edge = Edge(a, source_port, b, target_port)
         self.edges.append(edge)
         try:
-            list(self.order())
+            self.flattened().checked_loops()
         except ValueError:
             self.edges.pop()
             raise
@@ -244,14 +263,67 @@ class Graph:
 
     def order(self) -> Iterator[str]:
         """Names so that every block follows its sources."""
-        left = {n: {e.source for e in self.edges if e.target == n} for n in self.blocks}
+        for names in self.components():
+            if len(names) > 1 or any(e.source == e.target == names[0] for e in self.edges):
+                raise ValueError(f"the graph has a cycle over {', '.join(names)}")
+            yield names[0]
+
+    def components(self) -> list[list[str]]:
+        """Groups of names that cycles join (mostly of one name each), so that every group follows its sources."""
+        reach = {n: self.reached(n) for n in self.blocks}
+        groups: list[list[str]] = []
+        for n in self.blocks:
+            if not any(n in g for g in groups):
+                groups.append([n, *(m for m in self.blocks if m != n and m in reach[n] and n in reach[m])])
+        out: list[list[str]] = []
+        while groups:
+            ready = next(g for g in groups if not any(g[0] in reach[h[0]] for h in groups if h is not g))
+            out.append(ready)
+            groups.remove(ready)
+        return out
+
+    def reached(self, start: str) -> set[str]:
+        seen, left = set(), [start]
         while left:
-            ready = [n for n, needs in left.items() if not needs & left.keys()]
-            if not ready:
-                raise ValueError("the graph has a cycle; use one recursive block in its place")
-            yield from ready
-            for n in ready:
-                del left[n]
+            for e in self.edges:
+                if e.source == left[0] and e.target not in seen:
+                    seen.add(e.target)
+                    left.append(e.target)
+            left.pop(0)
+        return seen
+
+    def closing(self) -> list[Edge]:
+        """The edges that close loops, as a walk in depth meets them: from each block in the order of adding, along its edges in the order of connecting."""
+        found: list[Edge] = []
+        path: list[str] = []
+        done: set[str] = set()
+
+        def walk(name: str) -> None:
+            path.append(name)
+            for e in self.edges:
+                if e.source == name and e.target in path:
+                    found.append(e)
+                elif e.source == name and e.target not in done:
+                    walk(e.target)
+            done.add(path.pop())
+
+        for name in self.blocks:
+            if name not in done:
+                walk(name)
+        return found
+
+    def checked_loops(self) -> None:
+        """An error for a cycle with a block that is not linear."""
+        for names in self.components():
+            if len(names) > 1 or any(e.source == e.target == names[0] for e in self.edges):
+                other = [n for n in names if self.blocks[n].kind not in LINEAR]
+                if other:
+                    raise ValueError(f"the graph has a cycle through {', '.join(other)}, which is not linear; use one recursive block in its place")
+
+    def resolved(self, name: str, port: str, outputs: bool = True) -> tuple[str, str]:
+        """The inner block and port of a group's exported port."""
+        inner = self.blocks[name].graph
+        return (name, port) if inner is None else inner.resolved(*(inner.outputs if outputs else inner.inputs)[port], outputs)
 
     def sources(self) -> list[str]:
         return [n for n in self.blocks if not any(e.target == n for e in self.edges)]
@@ -261,29 +333,55 @@ class Graph:
 
     def compile(self, spark: SparkSession, **given: DataFrame) -> dict[tuple[str, str], DataFrame]:
         """The DataFrame of every output port. given: frames for exported inputs."""
+        flat = self.flattened()
+        flat.checked_loops()
+        flat.inputs = {k: self.resolved(*v, outputs=False) for k, v in self.inputs.items()}
         made: dict[tuple[str, str], DataFrame] = {}
-        for name in self.order():
-            b = self.blocks[name]
-            inputs, outputs = b.ports()
-            frames = []
-            for port in inputs:
-                edge = next((e for e in self.edges if (e.target, e.target_port) == (name, port)), None)
-                outside = next((k for k, v in self.inputs.items() if v == (name, port)), None)
-                if edge is not None:
-                    frames.append(made[edge.source, edge.source_port])
-                elif outside in given:
-                    frames.append(given[outside])
-                else:
-                    raise ValueError(f"{name}.{port} is not connected")
-            if b.graph is not None:
-                inner = b.graph.compile(spark, **dict(zip(inputs, frames, strict=True)))
-                found: Any = {port: inner[at] for port, at in b.graph.outputs.items()}
-            else:
-                found = BLOCKS[b.kind][0](spark, *frames, **b.settings)
-            if isinstance(found, DataFrame):
-                found = {outputs[0]: found}
-            made |= {(name, port): frame for port, frame in found.items()}
-        return made
+        for names in flat.components():
+            made |= flat.loop(names, made, given) if flat.closes(names) else flat.one(spark, names[0], made, given)
+        groups = [(n, port) for n, b in self.blocks.items() if b.graph is not None for port in b.graph.outputs]
+        return made | {(n, port): made[self.resolved(n, port)] for n, port in groups}
+
+    def closes(self, names: list[str]) -> bool:
+        return any(e.source in names and e.target in names for e in self.edges)
+
+    def fed(self, name: str, port: str, made: dict[tuple[str, str], DataFrame], given: dict[str, DataFrame]) -> DataFrame:
+        edge = next((e for e in self.edges if (e.target, e.target_port) == (name, port)), None)
+        if edge is not None:
+            return made[edge.source, edge.source_port]
+        outside = next((k for k, v in self.inputs.items() if v == (name, port)), None)
+        if outside not in given:
+            raise ValueError(f"{name}.{port} is not connected")
+        return given[outside]
+
+    def one(self, spark: SparkSession, name: str, made: dict[tuple[str, str], DataFrame], given: dict[str, DataFrame]) -> dict[tuple[str, str], DataFrame]:
+        b = self.blocks[name]
+        inputs, outputs = b.ports()
+        found = BLOCKS[b.kind][0](spark, *(self.fed(name, port, made, given) for port in inputs), **b.settings)
+        if isinstance(found, DataFrame):
+            found = {outputs[0]: found}
+        return {(name, port): frame for port, frame in found.items()}
+
+    def loop(self, names: list[str], made: dict[tuple[str, str], DataFrame], given: dict[str, DataFrame]) -> dict[tuple[str, str], DataFrame]:
+        """The outputs of linear blocks that cycles join: first as sums of what comes in and of what the closing edges bring, then without those."""
+        closing = [e for e in self.closing() if e.source in names and e.target in names]
+        frames: dict[Any, DataFrame] = {}
+        at: dict[Any, feedback.Sum] = {}
+        while len(at) < len(names):
+            for n in names:
+                before = {e.target_port: e for e in self.edges if e.target == n and e.source in names}
+                if n in at or any(e not in closing and e.source not in at for e in before.values()):
+                    continue
+                parts = []
+                for port, transfer in zip(self.blocks[n].ports()[0], LINEAR[self.blocks[n].kind](**self.blocks[n].settings), strict=True):
+                    edge = before.get(port)
+                    if edge is None:
+                        frames[n, port] = self.fed(n, port, made, given)
+                    source = {(n, port): Transfer()} if edge is None else {edge: Transfer.delay(1)} if edge in closing else at[edge.source]
+                    parts.append(feedback.through(source, transfer))
+                at[n] = feedback.added(parts)
+        brought = {e: at[e.source] for e in closing}
+        return {(n, "out"): feedback.summed(frames, s) for n, s in feedback.solved(brought, at).items()}
 
     def run(self, spark: SparkSession, name: str, port: str = "out", **given: DataFrame) -> DataFrame:
         return self.compile(spark, **given)[name, port]

@@ -285,10 +285,13 @@ SELECT g.stream_id, 1 AS port, s.idx - c1 + pre AS idx, s.value FROM g JOIN s ON
 )
 def sync_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two neighbouring users' streams as ports, aligned at the first purchase of each."""
-    s = signal(spark, sf_dir)
-    ports = s.withColumn("port", F.lit(0)).unionByName(s.withColumn("stream_id", F.col("stream_id") - 1).withColumn("port", F.lit(1)))
-    first = indexed(spark, sf_dir).filter("event_type = 'purchase'").groupBy("stream_id").agg(F.min("idx").alias("idx"))
-    marks = first.withColumn("port", F.lit(0)).unionByName(first.withColumn("stream_id", F.col("stream_id") - 1).withColumn("port", F.lit(1)))
+
+    def both(rows: DataFrame) -> DataFrame:
+        ways = F.array(*(F.struct((F.col("stream_id") - p).alias("stream_id"), F.lit(p).alias("port")) for p in (0, 1)))
+        return rows.withColumn("_p", F.explode(ways)).select("_p.*", *(c for c in rows.columns if c != "stream_id"))
+
+    ports = both(signal(spark, sf_dir))
+    marks = both(indexed(spark, sf_dir).filter("event_type = 'purchase'").groupBy("stream_id").agg(F.min("idx").alias("idx")))
     marks = marks.withColumn("name", F.lit("purchase")).withColumn("time", F.lit(1000))
     return align.sync_block(ports, marks, 2, 5)[0]
 
