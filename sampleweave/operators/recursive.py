@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sampleweave.functions.expressions import Parser, names_in
+from sampleweave.functions.expressions import names_in, parsed_once, weighted
 from sampleweave.model import BLOCK, carried
 
 STEP = 64  #: samples that one matrix product filters
@@ -47,16 +47,23 @@ class Recursion:
         s = np.zeros(self.n) if state is None else np.asarray(state, float)
         whole = len(x) // STEP
         out = np.empty(len(x))
+        if whole and not np.isfinite(x).all():  # a product would spread what is not finite to the samples before it
+            with np.errstate(invalid="ignore"):
+                return out, self.one_by_one(x, s, out)
         blocks = x[: whole * STEP].reshape(whole, STEP)
-        alone, drives = blocks @ self.toeplitz.T, blocks @ self.gather.T
+        drives, starts = blocks @ self.gather.T, np.empty((whole, self.n))
         jump = self.powers[STEP]
         for i in range(whole):
-            out[i * STEP : (i + 1) * STEP] = alone[i] + self.observe @ s
+            starts[i] = s
             s = jump @ s + drives[i]
-        for k in range(whole * STEP, len(x)):
+        out[: whole * STEP] = (blocks @ self.toeplitz.T + starts @ self.observe.T).ravel()
+        return out, self.one_by_one(x[whole * STEP :], s, out[whole * STEP :])
+
+    def one_by_one(self, x: np.ndarray, s: np.ndarray, out: np.ndarray) -> np.ndarray:
+        for k in range(len(x)):
             out[k] = self.through * x[k] + (s[0] if self.n else 0.0)
             s = self.step @ s + self.drive * x[k]
-        return out, s
+        return s
 
     def free(self, length: int, state: np.ndarray) -> np.ndarray:
         """The state after so many samples of zero input."""
@@ -128,6 +135,32 @@ def iir_sections(samples: DataFrame, sections: Sequence[tuple[Sequence[float], S
     return samples
 
 
+def schmitt_regression(samples: DataFrame, offset: float = 0.0, threshold: float = 1.0, sample_rate: float = 1.0, most: int = 16) -> DataFrame:
+    """Edges of a hysteresis, each where the straight line of least squares through the samples between the two levels,
+    the last `most` of them and two at least, meets the offset; the columns of schmitt, trigger_offset from the edge's sample.
+
+    An edge starts at the opposite level: a rise needs a sample at or below offset - threshold before it, and what
+    falls before the first rise is none.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above zero")
+    mark = F.when(F.col("value") >= offset + threshold, 1).when(F.col("value") <= offset - threshold, 0)
+    # what the sample before saw last: its level and place; and the first level of the stream
+    filled = carried(samples, F.when(mark.isNotNull(), F.struct(mark.alias("level"), F.col("idx").alias("at"))), "_seen")
+    late = filled.select("stream_id", (F.col("idx") + 1).alias("idx"), F.col("_seen").alias("_was"))
+    turns = filled.withColumn("_mark", mark).filter("_mark is not null").join(late, ["stream_id", "idx"]).filter("_mark <> _was.level")
+    risen = samples.filter(mark == 0).groupBy("stream_id").agg(F.min("idx").alias("_low"))
+    edges = turns.join(risen, "stream_id").filter("idx > _low").select("stream_id", F.col("idx").alias("_edge"), "_mark", F.least(F.greatest(F.col("idx") - F.col("_was.at"), F.lit(2)), F.lit(most)).alias("_n"))
+    asked = edges.select("*", F.explode(F.expr("sequence(_edge - _n + 1, _edge)")).alias("idx"))
+    k, y = F.col("idx") - F.col("_edge"), F.col("value")
+    sums = asked.join(samples, ["stream_id", "idx"]).groupBy("stream_id", "_edge", "_mark").agg(F.count("*").alias("n"), F.avg(k).alias("mk"), F.avg(y).alias("my"), F.sum(k * y).alias("ky"), F.sum(k * k).alias("kk"))
+    n, mk, my = F.col("n"), F.col("mk"), F.col("my")
+    slope = (F.col("ky") - n * mk * my) / (F.col("kk") - n * mk * mk)
+    lines = sums.withColumn("trigger_offset", mk + (F.lit(float(offset)) - my) / F.nullif(slope, F.lit(0.0)))
+    time = ((F.col("_edge") + F.col("trigger_offset")) * F.lit(1e9 / sample_rate)).cast("long")
+    return lines.select("stream_id", F.col("_edge").alias("idx"), F.when(F.col("_mark") == 1, "RISING").otherwise("FALLING").alias("edge"), time.alias("trigger_time"), "trigger_offset")
+
+
 def schmitt(samples: DataFrame, offset: float = 0.0, threshold: float = 1.0, interpolate: bool = False, sample_rate: float = 1.0) -> DataFrame:
     """Edges of a hysteresis: rising at offset + threshold, falling at offset - threshold; the state starts low.
 
@@ -148,19 +181,26 @@ def schmitt(samples: DataFrame, offset: float = 0.0, threshold: float = 1.0, int
 
 
 def expression(samples: DataFrame, text: str, a: float = 1.0, b: float = 0.0, c: float = 0.0) -> DataFrame:
-    """An expression of x and y, the output before it (0 at first). Without y it is element-wise and needs no kernel."""
+    """An expression of x and y, the output before it (0 at first). Without y it is element-wise and needs no kernel; a
+    weighted sum of x, y and a constant is a recursive filter; any other takes a stream in one task, parsed once."""
     if "y" not in names_in(text):
         from sampleweave.operators.elementwise import expression as plain
 
         return plain(samples, text, a, b, c)
+    weights = weighted(text, {"a": a, "b": b, "c": c})
+    if weights is not None:
+        of_x, of_y, rest = weights
+        return iir(samples.withColumn("value", F.col("value") * F.lit(of_x) + F.lit(rest)), [1.0], [1.0, -of_y])
     kind = dict(samples.dtypes)["stream_id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        out, y = np.empty(len(pdf)), 0.0
+        out, y, step = np.empty(len(pdf)), np.float64(0), parsed_once(text)
+        names = {"a": np.float64(a), "b": np.float64(b), "c": np.float64(c)}
         with np.errstate(all="ignore"):
             for i, x in enumerate(pdf["value"].to_numpy(float)):
-                out[i] = y = float(Parser(text, {"x": np.float64(x), "y": np.float64(y), "a": np.float64(a), "b": np.float64(b), "c": np.float64(c)}, "arrays").whole())
+                names["x"], names["y"] = x, y
+                out[i] = y = np.float64(step(names))
         return pd.DataFrame({"stream_id": pdf["stream_id"], "idx": pdf["idx"], "value": out})
 
     return samples.select("stream_id", "idx", "value").groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, idx long, value double")

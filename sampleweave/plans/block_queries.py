@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampleweave.functions import cplx, nmea, scalars, windows
-from sampleweave.operators import align, dataset, design, elementwise, estimators, monitor, recursive, timing, window
+from sampleweave.operators import align, dataset, design, elementwise, estimators, feedback, monitor, recursive, timing, window
 from sampleweave.plans.graph import Graph
 from sampleweave.plans.registry import ORACLES, STREAM, query, r6, rounded
 from sampleweave.plans.sources_of_queries import datasets, indexed, signal, tags
@@ -341,3 +341,61 @@ def delivered_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data sets that a listener asks for by their mean, and what passed it by."""
     wanted, rest = monitor.delivered(dataset.nested(datasets(spark, sf_dir)), scalars.mean(F.col("values")) > 50)
     return wanted.agg(F.count("*").alias("delivered")).withColumn("one", F.lit(1)).join(rest.select(F.lit(1).alias("one"), F.col("n").alias("passed"), F.col("n_samples").alias("passed_samples")), "one").drop("one")
+
+
+def mixer() -> Graph:
+    """A part of a stream and a part of what left the sum before, as a graph with a loop."""
+    g = Graph("mixer")
+    g.add("MultiplyConst", "scale", value=0.2718281828)
+    g.add("Add", "sum")
+    g.add("MultiplyConst", "back", value=0.7310585786)
+    g.connect("scale", "out", "sum", "in0")
+    g.connect("sum", "out", "back", "in")
+    g.connect("back", "out", "sum", "in1")
+    g.export("in", "scale", "in")
+    return g
+
+
+@query(f"{RECURSIVE}, r AS ({recursion_sql([0.2718281828], [1.0, -0.7310585786])}) SELECT stream_id, idx, round(y0, 6) + 0.0 AS value, round(0.7310585786 * y0, 6) + 0.0 AS tap FROM r")
+def feedback_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A low-pass as a cycle of a sum and a factor, and what the factor puts out for the same sample."""
+    ports = mixer().compile(spark, **{"in": signal(spark, sf_dir)})
+    own = feedback.Transfer.of([0.2718281828])
+    _, tap = feedback.feedback_merge([own.applied(signal(spark, sf_dir))], feedback.Transfer.of([0.7310585786]), tap=True)
+    both = ports["sum", "out"].join(tap.withColumnRenamed("value", "tap"), ["stream_id", "idx"])
+    return both.select("stream_id", "idx", r6("value", "value"), r6("tap", "tap"))
+
+
+@query(f"{RECURSIVE}, r AS ({recursion_sql([1.0, 0.2345678912], [1.0, 0.0, 0.0, -0.5123456789])}) SELECT stream_id, idx, round(y0, 6) + 0.0 AS value FROM r")
+def feedback_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum of a filtered stream and about half of its own output through a delay of two samples and the loop's one."""
+    loop = feedback.Transfer.delay(2).then(feedback.Transfer.of([0.5123456789]))
+    return rounded(feedback.feedback_merge([signal(spark, sf_dir)], loop, [feedback.Transfer.of([1.0, 0.2345678912])]), "value")
+
+
+@query(
+    STREAM
+    + """, m AS (SELECT *, CASE WHEN event_type = 'click' THEN idx END AS mark FROM s),
+f AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor FROM m)
+SELECT stream_id, idx, round(CASE WHEN anchor IS NULL THEN 0 WHEN idx - anchor > 6 THEN 1 ELSE 1 + 2 * sin(2 * pi() * 0.15 * (idx - anchor) + 0.3) END, 6) + 0.0 AS value FROM f"""
+)
+def tone_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tone that every click starts again, of six samples."""
+    rows = indexed(spark, sf_dir)
+    zero = [F.lit(0.0).alias(c) for c in ("round_off_time", "impulse_time0", "impulse_time1")]
+    seg = rows.filter("event_type = 'click'").select("stream_id", "idx", F.lit("Sin").alias("kind"), F.lit(1.0).alias("start_value"), F.lit(2.0).alias("final_value"), F.lit(6.0).alias("duration"), *zero, F.lit(0.15).alias("frequency"), F.lit(0.3).alias("phase"))
+    return rounded(generators.function_generator(rows, seg, 1.0), "value")
+
+
+@query(
+    STREAM
+    + """, m AS (SELECT *, CASE WHEN value >= 100 THEN 1 WHEN value <= 40 THEN 0 END AS mark FROM s), k AS (SELECT stream_id, idx, mark FROM m WHERE mark IS NOT NULL),
+t AS (SELECT *, lag(mark) OVER w AS was, lag(idx) OVER w AS since FROM k WINDOW w AS (PARTITION BY stream_id ORDER BY idx)), z AS (SELECT stream_id, min(idx) AS low FROM k WHERE mark = 0 GROUP BY stream_id),
+e AS (SELECT stream_id, idx AS edge, mark, least(greatest(idx - since, 2), 16) AS n FROM t JOIN z USING (stream_id) WHERE mark <> was AND idx > low),
+r AS (SELECT stream_id, edge, mark, regr_slope(value, idx - edge) AS slope, regr_intercept(value, idx - edge) AS level FROM e JOIN s USING (stream_id) WHERE s.idx > edge - n AND s.idx <= edge GROUP BY stream_id, edge, mark)
+SELECT stream_id, edge AS idx, CASE WHEN mark = 1 THEN 'RISING' ELSE 'FALLING' END AS edge, round((70 - level) / slope, 5) + 0.0 AS trigger_offset FROM r"""
+)
+def schmitt_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges at the line through the samples between 40 and 100, at 70."""
+    found = recursive.schmitt_regression(signal(spark, sf_dir), 70.0, 30.0)
+    return found.select("stream_id", "idx", "edge", (F.round("trigger_offset", 5) + F.lit(0.0)).alias("trigger_offset"))

@@ -66,6 +66,8 @@ plain("fir_filter", lambda s, b: window.fir(s, b))
 plain("iir_filter", lambda s, b, a: recursive.iir(s, b, a))
 plain("SavitzkyGolayFilter", lambda s, window_size=11, poly_order=4, deriv_order=0, sample_rate=1.0, alignment="Centred": window.savitzky_golay(s, window_size, poly_order, deriv_order, sample_rate, alignment == "Causal"))
 plain("SchmittTrigger", lambda s, offset=0.0, threshold=1.0, sample_rate=1.0: recursive.schmitt(s, offset, threshold, sample_rate=sample_rate))
+plain("SchmittTriggerLinear", lambda s, offset=0.0, threshold=1.0, sample_rate=1.0: recursive.schmitt(s, offset, threshold, True, sample_rate))
+plain("SchmittTriggerRegression", lambda s, offset=0.0, threshold=1.0, sample_rate=1.0: recursive.schmitt_regression(s, offset, threshold, sample_rate))
 plain("FFT", lambda s, fftSize=1024, window="Hann", sample_rate=1.0, outputInDb=False, outputInDeg=False, unwrapPhase=False: spectral.fft(s, fftSize, window, sample_rate, outputInDb, outputInDeg, unwrapPhase))
 plain("SvdDenoiser", lambda s, window_size=64, hop_fraction=0.25, **how: frequency.svd_denoiser(s, window_size, hop_fraction, **how))
 plain("FrequencyEstimatorTimeDomain", frequency.time_domain)

@@ -31,10 +31,25 @@ def counting_source(spark: SparkSession, n: int, start: float = 0.0) -> DataFram
 
 def tag_source(spark: SparkSession, values: Sequence[float], tags: Sequence[tuple[int, str, str]], repeat: int = 1) -> tuple[DataFrame, DataFrame]:
     """Given values and tags (index, name, context), repeated: a table of samples and one of tags."""
-    n = len(values)
-    rows = spark.createDataFrame([("s", r * n + i, float(v)) for r in range(repeat) for i, v in enumerate(values)], "stream_id string, idx long, value double")
-    marks = [("s", r * n + i, name, context, k, 0) for r in range(repeat) for k, (i, name, context) in enumerate(tags)]
-    return rows, spark.createDataFrame(marks, "stream_id string, idx long, name string, context string, seq int, time long")
+    rows = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(values)], "stream_id string, idx long, value double")
+    marks = spark.createDataFrame([("s", i, name, context, k, 0) for k, (i, name, context) in enumerate(tags)], "stream_id string, idx long, name string, context string, seq int, time long")
+    return tuple(rounds(f, repeat).withColumn("idx", F.col("idx") + F.col("_round") * len(values)).drop("_round") for f in (rows, marks))
+
+
+def rounds(rows: DataFrame, n: int) -> DataFrame:
+    """rows n times over, with their _round from 0."""
+    return rows.withColumn("_round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))) if n > 0 else rows.withColumn("_round", F.lit(0).cast("long")).limit(0)
+
+
+def noise(kind: str, place: Column, seed: int = 0) -> Column:
+    """UniformNoise and TriangularNoise from -1 to 1, GaussianNoise of variance 1: hashes of the seed and the place, so that any range of any run draws the same."""
+
+    def uniform(k: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), place), 11) + 0.5) / float(1 << 53)
+
+    if kind == "GaussianNoise":
+        return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+    return {"UniformNoise": lambda: uniform(0) * 2 - 1, "TriangularNoise": lambda: uniform(0) + uniform(1) - 1}[kind]()
 
 
 def waveform(kind: str, t: Column, frequency: float, amplitude: float = 1.0, offset: float = 0.0, phase: float = 0.0, seed: int = 0) -> Column:
@@ -43,8 +58,7 @@ def waveform(kind: str, t: Column, frequency: float, amplitude: float = 1.0, off
     theta = 2 * math.pi * frequency * t + phase
     cycle = frequency * t + phase / (2 * math.pi)
     if "Noise" in kind:
-        u = F.rand(seed) * 2 - 1
-        return o + a * {"UniformNoise": u, "TriangularNoise": (F.rand(seed) + F.rand(seed + 1)) - 1, "GaussianNoise": F.randn(seed)}[kind]
+        return o + a * noise(kind, t, seed)
     if kind == "Const" or frequency <= 0:
         return a + o
     return {
@@ -82,14 +96,26 @@ def ramp(kind: Column, t: Column, start: Column, final: Column, duration: Column
     )
 
 
-def function_generator(clock: DataFrame, segments: DataFrame, sample_rate: float = 1000.0) -> DataFrame:
+def function_generator(clock: DataFrame, segments: DataFrame, sample_rate: float = 1000.0, seed: int = 0) -> DataFrame:
     """A sequence of functions: segments (stream_id, idx, kind, start_value, final_value, duration, round_off_time, impulse_time0,
-    impulse_time1) begin at their sample and hold until the next; before the first the value is 0."""
+    impulse_time1) begin at their sample and hold until the next; before the first the value is 0.
+
+    A noise kind has start_value as its amplitude. A tone (Sin, Cos, FastSin, FastCos; columns frequency and phase) turns
+    about start_value by final_value from its segment's first sample on, until a duration above 0 is over.
+    """
     fields = [c for c in segments.columns if c not in ("stream_id", "idx")]
     marks = segments.select("stream_id", "idx", F.struct(F.col("idx").alias("at"), *fields).alias("_segment"))
     rows = carried(clock.select("stream_id", "idx").join(marks, ["stream_id", "idx"], "left"), F.col("_segment"), "_s")
     t = (F.col("idx") - F.col("_s.at")) / F.lit(float(sample_rate))
     value = ramp(F.col("_s.kind"), t, *(F.col(f"_s.{c}") for c in ("start_value", "final_value", "duration", "round_off_time", "impulse_time0", "impulse_time1")))
+    kind, level = F.col("_s.kind"), F.col("_s.start_value")
+    for name in ("UniformNoise", "TriangularNoise", "GaussianNoise"):
+        value = F.when(kind == name, level * noise(name, F.struct("stream_id", "idx"), seed)).otherwise(value)
+    if {"frequency", "phase"} <= set(fields):
+        angle = 2 * math.pi * F.col("_s.frequency") * t + F.col("_s.phase")
+        turned = level + F.col("_s.final_value") * F.when(kind.endswith("Sin"), F.sin(angle)).otherwise(F.cos(angle))
+        over = (F.col("_s.duration") > 0) & (t > F.col("_s.duration"))
+        value = F.when(kind.isin("Sin", "Cos", "FastSin", "FastCos"), F.when(over, level).otherwise(turned)).otherwise(value)
     return rows.select("stream_id", "idx", F.when(F.col("_s").isNull(), 0.0).otherwise(value).alias("value"))
 
 
@@ -99,10 +125,10 @@ def clock_source(spark: SparkSession, n: int, sample_rate: float, tags: Sequence
     if times != sorted(times):
         raise ValueError("tag times must ascend")
     end = int(n / sample_rate * 1e9)
-    rounds = range(0, end, repeat_period) if repeat_period else [0]
-    rows = [("s", round((r + t) * sample_rate / 1e9), v.split("/")[0], v.partition("/")[2], k, r + t) for r in rounds for k, (t, v) in enumerate(tags)]
-    marks = spark.createDataFrame([r for r in rows if r[1] < n], "stream_id string, idx long, name string, context string, seq int, time long")
-    return samples(spark, n, 0.0), marks
+    first = spark.createDataFrame([("s", v.split("/")[0], v.partition("/")[2], k, t) for k, (t, v) in enumerate(tags)], "stream_id string, name string, context string, seq int, time long")
+    marks = rounds(first, -(-end // repeat_period) if repeat_period else 1).withColumn("time", F.col("time") + F.col("_round") * repeat_period)
+    marks = marks.withColumn("idx", F.bround(F.col("time") * F.lit(sample_rate / 1e9)).cast("long")).filter(F.col("idx") < n)
+    return samples(spark, n, 0.0), marks.select("stream_id", "idx", "name", "context", "seq", "time")
 
 
 def test_signal(spark: SparkSession, kind: str, n: int, **at: float) -> DataFrame:
