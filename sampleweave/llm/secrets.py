@@ -11,8 +11,8 @@ sums and extremes go by blocks, so that the work grows with the number of matche
 growing array is copied at each step of an aggregate.
 
 Cases: a null or empty text has no span; rows repeat as they come; overlapping spans of different kinds all stay; an
-empty table gives no row; a text may be one long run or hold any number of matches; a run of 20 to 23 characters with
-more than hexadecimal digits is shorter than its window and never a secret; columns of any other names pass through scan
+empty table gives no row; a text may be one long run or hold any number of matches; a run that is shorter than its
+window is one window, with the limit as far below what its length allows as for a whole one; columns of any other names pass through scan
 untouched, but for the one that it adds, which replaces one of the same name.
 """
 
@@ -91,25 +91,29 @@ def untouched(candidates: Column, base: Column) -> Column:
 
 
 def windowed(value: Column, alphabet: str, window: int) -> Column:
-    """The greatest entropy in bits over all windows of a string, -1 where it is shorter than a window.
+    """The greatest entropy in bits over all windows of a string, -1 without a character of the alphabet.
 
-    Each character is an event that enters, and from the window's length on one that leaves: the state holds the counts
+    A shorter string is one window: to what it lacks of log2 of its length, log2 of the window is given. Each character is an event that enters, and from the window's length on one that leaves: the state holds the counts
     by place in the alphabet, how many characters are in, the sum of count x log2 count, and the best so far.
     """
     terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
-    places = F.filter(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c)), lambda k: k > 0)
-    events = F.flatten(F.transform(places, lambda k, i: F.when(i >= window, F.array(k, -F.get(places, i - window))).otherwise(F.array(k))))
     zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
 
-    def step(acc: Column, e: Column) -> Column:
-        k, by = F.abs(e), F.signum(e).cast("int")
-        old, n = F.get(acc["counts"], k - 1), acc["n"] + by
-        total = acc["sum"] + F.get(terms, old + by) - F.get(terms, old)
-        counts = F.concat(F.slice(acc["counts"], F.lit(1), k - 1), F.array(old + by), F.slice(acc["counts"], k + 1, F.lit(len(alphabet))))
-        best = F.when(n == window, F.greatest(acc["best"], F.lit(math.log2(window)) - total / window)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), n.alias("n"), total.alias("sum"), best.alias("best"))
+    def best(places: Column) -> Column:
+        events = F.flatten(F.transform(places, lambda k, i: F.when(i >= window, F.array(k, -F.get(places, i - window))).otherwise(F.array(k))))
+        size = F.least(F.size(places), F.lit(window))
 
-    return F.aggregate(events, zero, step, lambda acc: acc["best"])
+        def step(acc: Column, e: Column) -> Column:
+            k, by = F.abs(e), F.signum(e).cast("int")
+            old, n = F.get(acc["counts"], k - 1), acc["n"] + by
+            total = acc["sum"] + F.get(terms, old + by) - F.get(terms, old)
+            counts = F.concat(F.slice(acc["counts"], F.lit(1), k - 1), F.array(old + by), F.slice(acc["counts"], k + 1, F.lit(len(alphabet))))
+            found = F.when(n == size, F.greatest(acc["best"], F.lit(math.log2(window)) - total / size)).otherwise(acc["best"])
+            return F.struct(counts.alias("counts"), n.alias("n"), total.alias("sum"), found.alias("best"))
+
+        return F.aggregate(events, zero, step, lambda acc: acc["best"])
+
+    return let(F.filter(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c)), lambda k: k > 0), best)
 
 
 def kind_of(value: Column) -> Column:
