@@ -130,3 +130,9 @@ def apply_settings(samples: DataFrame, settings: DataFrame, name: str, default:
     joined = samples.join(settings.select("stream_id", "idx", F.col("value").alias("_set")), ["stream_id", "idx"], "left")
     return carried(joined, F.col("_set"), name, F.lit(default)).drop("_set")
 
+
+
+def async_ports(streams: Sequence[DataFrame]) -> DataFrame:
+    """Ports that do not wait for one another: stream_id, port, idx, value, each port's samples under its own idx, however many there are."""
+    named = [s.select("stream_id", F.lit(i).alias("port"), "idx", "value") for i, s in enumerate(streams)]
+    return reduce(DataFrame.unionByName, named)

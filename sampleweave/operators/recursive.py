@@ -238,11 +238,57 @@ def expression_bulk(samples: DataFrame, program: str, size: int, a: float = 1.0,
     return samples.select("stream_id", "idx", "value").groupBy("stream_id", F.expr(f"idx div {size}")).applyInPandas(run, f"stream_id {kind}, idx long, value double")
 
 
-def uncertain_iir(samples: DataFrame, b: Sequence[float], a: Sequence[float], length: int = 256) -> DataFrame:
-    """A filter over values with uncertainties (value struct): variances pass through the squares of the first `length` terms of its impulse response."""
+def squared_response(b: Sequence[float], a: Sequence[float]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Taps of the recursion whose impulse response is the square of that of b and a: its poles are their products, two at a time.
+
+    None where rounding spoils it, as the response's first terms show (poles that nearly meet).
+    """
+    poles = np.roots(np.asarray(a, float))
+    pairs = np.array([poles[i] * poles[j] for i in range(len(poles)) for j in range(i, len(poles))])
+    down = np.real(np.poly(pairs)) if len(pairs) else np.ones(1)
+    length = 64 * (len(down) + len(b))
+    want = Recursion(b, a).run(np.eye(1, length)[0])[0] ** 2
+    up = np.convolve(down, want)[: len(down) + max(0, len(b) - len(a) + 1)]
+    made = Recursion(up, down).run(np.eye(1, length)[0])[0]
+    return (up, down) if np.abs(made - want).max() <= 1e-10 * want.max() else None
+
+
+def whole_response(b: Sequence[float], a: Sequence[float]) -> np.ndarray:
+    """The impulse response up to where the energy that is left is below what doubles hold."""
+    length = 256
+    while length <= 1 << 20:
+        response = Recursion(b, a).run(np.eye(1, length)[0])[0]
+        energy = np.cumsum(response[::-1] ** 2)[::-1]
+        if energy[length // 2] <= 1e-18 * energy[0]:
+            return response[: length // 2]
+        length *= 2
+    raise ValueError("the impulse response does not fade: the filter is not stable")
+
+
+def uncertain_iir(samples: DataFrame, b: Sequence[float], a: Sequence[float]) -> DataFrame:
+    """A filter over values with independent uncertainties (value struct): variances pass through the square of its whole impulse response."""
     from sampleweave.operators.window import fir
 
-    response = Recursion(b, a).run(np.eye(1, length)[0])[0] if len(a) > 1 else np.asarray(b, float)
     value = iir(samples.select("stream_id", "idx", F.col("value.value").alias("value")), b, a).withColumnRenamed("value", "_v")
-    spread = fir(samples.select("stream_id", "idx", (F.col("value.uncertainty") * F.col("value.uncertainty")).alias("value")), (response**2).tolist()).withColumnRenamed("value", "_u")
-    return value.join(spread, ["stream_id", "idx"]).select("stream_id", "idx", F.struct(F.col("_v").alias("value"), F.sqrt("_u").alias("uncertainty")).alias("value"))
+    squares = samples.select("stream_id", "idx", (F.col("value.uncertainty") * F.col("value.uncertainty")).alias("value"))
+    if len(a) <= 1:
+        spread = fir(squares, ((np.asarray(b, float) / (a[0] if len(a) else 1.0)) ** 2).tolist())
+    else:
+        taps = squared_response(b, a)
+        spread = iir(squares, *taps) if taps is not None else fir(squares, (whole_response(b, a) ** 2).tolist())
+    spread = spread.withColumnRenamed("value", "_u")
+    return value.join(spread, ["stream_id", "idx"]).select("stream_id", "idx", F.struct(F.col("_v").alias("value"), F.sqrt(F.greatest("_u", F.lit(0.0))).alias("uncertainty")).alias("value"))
+
+
+def error_propagating(samples: DataFrame, b: Sequence[float], a: Sequence[float]) -> DataFrame:
+    """The filtered value, and as its uncertainty the scatter that the filter sees: the filtered square less the square of the
+    filtered value. Values with uncertainties (value struct) add their own, as the filter passes them."""
+    own = dict(samples.dtypes)["value"].startswith("struct")
+    x = F.col("value.value") if own else F.col("value")
+    mean = iir(samples.select("stream_id", "idx", x.alias("value")), b, a).withColumnRenamed("value", "_v")
+    square = iir(samples.select("stream_id", "idx", (x * x).alias("value")), b, a).withColumnRenamed("value", "_s")
+    rows, scatter = mean.join(square, ["stream_id", "idx"]), F.abs(F.col("_s") - F.col("_v") * F.col("_v"))
+    if own:
+        passed = uncertain_iir(samples, b, a).select("stream_id", "idx", F.col("value.uncertainty").alias("_u"))
+        rows, scatter = rows.join(passed, ["stream_id", "idx"]), scatter + F.col("_u") * F.col("_u")
+    return rows.select("stream_id", "idx", F.struct(F.col("_v").alias("value"), F.sqrt(scatter).alias("uncertainty")).alias("value"))

@@ -75,3 +75,9 @@ def snapshot(samples: DataFrame, triggers: DataFrame, delay: int) -> DataFrame:
     """The sample `delay` samples after each trigger."""
     at = triggers.select("stream_id", F.col("idx").alias("trigger_idx"), (F.col("idx") + delay).alias("idx"))
     return samples.join(at, ["stream_id", "idx"])
+
+
+def stopped(ports: Sequence[DataFrame], limits: Sequence[int | None]) -> list[DataFrame]:
+    """Ports of one block, of which some ask to stop after a number of samples (None: never): all end with the first to stop."""
+    given = [n for n in limits if n is not None]
+    return [head(p, min(given)) if given else p for p in ports]

@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.operators import elementwise, feedback, frequency, recursive, select, spectral, window
+from sampleweave.operators import elementwise, feedback, frequency, monitor, recursive, select, spectral, timing, window
 from sampleweave.operators.design import fir_design, iir_design
 from sampleweave.operators.feedback import Transfer
 from sampleweave.sources import generators
@@ -79,6 +79,21 @@ block("CountingSource", ())(lambda spark, n_samples_max, default_value=0.0: gene
 block("SignalGenerator", ())(lambda spark, n, signal_type="Sin", **how: generators.signal_generator(spark, n, signal_type, **how))
 block("Table", ())(lambda spark, frame: frame)
 block("NullSink", ("in",), ())(lambda spark, s: {})
+plain("builtin_multiply", lambda s, factor=1.0: elementwise.with_constant(s, "multiply", factor))
+plain("builtin_counter", lambda s: s)
+plain("scale", lambda s, scale=1.0: elementwise.with_constant(s, "multiply", scale), ("original",))
+plain("adder", lambda a, b: elementwise.fold((a, b), "add"), ("addend0", "addend1"))
+block("duplicate", ("in",), ("out0", "out1"))(lambda spark, s: {"out0": s, "out1": s})
+block("CountSource", ())(lambda spark, n_samples_max: generators.constant_source(spark, n_samples_max, 42.0))
+plain("ExpectSink", monitor.expected, ("sink",))
+plain("CountingSink", monitor.counted)
+plain("TagMonitor", monitor.tag_monitor)
+plain("TagSink", monitor.tag_sink, ("in", "tags"))
+plain("VectorSink", lambda s, size=1024: monitor.vectors(s, size))
+plain("SettingsChangeRecorder", monitor.settings_changes)
+plain("SimCompute", lambda s, **timing: s)
+plain("ErrorPropagatingFilter", lambda s, b, a: recursive.error_propagating(s, b, a))
+plain("DriftCompensator", lambda s, estimated_rate, nominal_rate, mode="Linear", chunk=1024: timing.adaptively_resampled(s, estimated_rate, nominal_rate, chunk) if mode == "AdaptiveResampling" else timing.spliced(s, estimated_rate, nominal_rate, chunk, mode))
 
 
 @block("BasicFilter")
@@ -113,6 +128,10 @@ for ports in range(2, 33):
     LINEAR[f"Subtract{label}"] = lambda n=ports: [Transfer(), *[Transfer.of([-1.0])] * (n - 1)]
 
 
+#: The properties of a block.
+PROPERTIES = ("Heartbeat", "Echo", "LifecycleState", "Settings", "StagedSettings", "MetaInformation", "UiConstraints", "StoreDefaults", "ResetDefaults", "ActiveContext", "SettingsCtx", "SettingsContexts")
+
+
 @dataclass
 class Block:
     name: str
@@ -123,6 +142,9 @@ class Block:
     presets: dict[str, dict[str, Any]] = field(default_factory=dict)
     meta: dict[str, Any] = field(default_factory=dict)
     graph: Graph | None = None
+    staged: dict[str, Any] = field(default_factory=dict)
+    context: str = ""
+    subscribers: dict[str, list[str]] = field(default_factory=dict)
 
     def ports(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
         if self.graph is not None:
@@ -147,6 +169,70 @@ class Block:
     def activate(self, context: str) -> None:
         """The settings of a stored context over the present ones."""
         self.settings |= self.presets[context]
+        self.context = context
+
+    def apply_staged(self) -> None:
+        """Settings that wait take effect: before the block is compiled, never in between."""
+        self.settings |= self.staged
+        self.staged = {}
+
+    def property(self, name: str, action: str = "Get", **data: Any) -> Any:
+        """The properties that a block answers to. Subscribing is possible for each of them; who did so is in subscribers."""
+        if name not in PROPERTIES:
+            raise ValueError(f"unknown property {name}")
+        if action in ("Subscribe", "Unsubscribe"):
+            held = self.subscribers.setdefault(name, [])
+            client = data.get("client", "")
+            if action == "Subscribe" and client not in held:
+                held.append(client)
+            elif action == "Unsubscribe" and client in held:
+                held.remove(client)
+            return list(held)
+        if action not in ("Get", "Set"):
+            raise ValueError(f"unknown action {action}")
+        return (self.told if action == "Get" else self.changed)(name, data)
+
+    def told(self, name: str, data: dict[str, Any]) -> Any:
+        inputs, outputs = self.ports()
+        answers = {
+            "Heartbeat": lambda: {"name": self.name, "state": self.state},
+            "Echo": lambda: {"name": self.name, **data},
+            "LifecycleState": lambda: self.state,
+            "Settings": lambda: dict(self.settings),
+            "StagedSettings": lambda: dict(self.staged),
+            "MetaInformation": lambda: {"kind": self.kind, "inputs": inputs, "outputs": outputs, **self.meta},
+            "UiConstraints": lambda: dict(self.meta.get("ui", {})),
+            "StoreDefaults": lambda: dict(self.defaults),
+            "ResetDefaults": lambda: dict(self.defaults),
+            "ActiveContext": lambda: self.context,
+            "SettingsCtx": lambda: dict(self.presets[data["context"]]),
+            "SettingsContexts": lambda: sorted(self.presets),
+        }
+        return answers[name]()
+
+    def changed(self, name: str, data: dict[str, Any]) -> Any:
+        if name in ("Settings", "StagedSettings"):
+            self.staged |= data
+            if name == "Settings" and self.state != "RUNNING":
+                self.apply_staged()
+        elif name == "LifecycleState":
+            self.go(data["state"])
+        elif name == "StoreDefaults":
+            self.store_defaults()
+        elif name == "ResetDefaults":
+            self.reset_defaults()
+        elif name == "ActiveContext":
+            self.activate(data["context"])
+        elif name == "SettingsCtx":
+            if data.get("remove"):
+                del self.presets[data["context"]]
+            else:
+                self.presets[data["context"]] = dict(data.get("settings", self.settings))
+        elif name == "UiConstraints":
+            self.meta["ui"] = dict(data)
+        elif name != "Echo":
+            raise ValueError(f"{name} cannot be set")
+        return self.told(name, data)
 
 
 @dataclass(frozen=True)
@@ -358,6 +444,7 @@ class Graph:
 
     def one(self, spark: SparkSession, name: str, made: dict[tuple[str, str], DataFrame], given: dict[str, DataFrame]) -> dict[tuple[str, str], DataFrame]:
         b = self.blocks[name]
+        b.apply_staged()
         inputs, outputs = b.ports()
         found = BLOCKS[b.kind][0](spark, *(self.fed(name, port, made, given) for port in inputs), **b.settings)
         if isinstance(found, DataFrame):
@@ -406,6 +493,10 @@ class Graph:
             return self.ungroup(data["name"])
         if command == "Settings":
             return self.blocks[data["name"]].set(**data["settings"])
+        if command == "Property":
+            return self.blocks[data["name"]].property(data["property"], data.get("action", "Get"), **data.get("data", {}))
+        if command == "SchedulerInspect":
+            return {"states": {n: b.state for n, b in self.blocks.items()}, "edges": len(self.edges), "sources": self.sources()}
         if command in ("GraphSpec", "Inspect"):
             return self.spec()
         raise ValueError(f"unknown command {command}")

@@ -214,7 +214,7 @@ def dataset_symmetric_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def uncertain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signal(spark, sf_dir).select("stream_id", "idx", F.struct("value", F.lit(1.0).alias("uncertainty")).alias("value"))
-    made = recursive.uncertain_iir(rows, *design.iir_design("LOWPASS", 2, 0.1), length=16)
+    made = recursive.uncertain_iir(rows, *design.iir_design("LOWPASS", 2, 0.1))
     return made.select("stream_id", "idx", r6("value.value", "value"), r6("value.uncertainty", "uncertainty"))
 
 

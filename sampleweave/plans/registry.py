@@ -442,3 +442,4 @@ def complex_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from sampleweave.plans import kernel_queries as _kernel_queries  # noqa: E402, F401  (registers its queries)
 from sampleweave.plans import block_queries as _block_queries  # noqa: E402, F401  (registers its queries)
+from sampleweave.plans import device_queries as _device_queries  # noqa: E402, F401  (registers its queries)

@@ -33,8 +33,9 @@ def inflated(data: bytes, most: int = 1 << 31) -> bytes:
     return out
 
 
-def binary_source(spark: SparkSession, path: str, fmt: str = "float32", offset: int = 0, length: int = 0, compressed: bool = False) -> DataFrame:
-    """stream_id (the file's path), idx, value of raw little-endian files: length samples from offset on (0: all)."""
+def binary_source(spark: SparkSession, path: str, fmt: str = "float32", offset: int = 0, length: int = 0, compressed: bool = False, repeat: int = 1) -> DataFrame:
+    """stream_id (the file's path), idx, value of raw little-endian files: length samples from offset on (0: all), so many times
+    over. A path with a pattern (/data/run*) reads every file that it meets, each as a stream."""
     kind = FORMATS[fmt]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,9 +44,9 @@ def binary_source(spark: SparkSession, path: str, fmt: str = "float32", offset:
                 data = inflated(data) if compressed else data
                 width = np.dtype(kind).itemsize
                 values = np.frombuffer(data, kind, len(data) // width)[offset : offset + length if length else None]
-                for at in range(0, len(values), STEP):
+                for start, at in ((r * len(values), at) for r in range(repeat) for at in range(0, len(values), STEP)):
                     part = values[at : at + STEP].astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["stream_id", "idx", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(start + at, start + at + len(part))), pa.array(part)], ["stream_id", "idx", "value"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "stream_id string, idx long, value double")
 

@@ -1,7 +1,7 @@
 """Stateful operators over unbounded streams. Within a micro-batch rows are put in order of idx; a stream's state is small.
 
 A gap in idx is an error of the source, unless the operator counts it (n_dropped_samples). Rows that come again after a
-restart (an idx at or below the last one seen) are left out.
+restart (an idx at or below the last one seen) are left out; late_rows is the stream of those, to be counted or kept.
 """
 
 from __future__ import annotations
@@ -100,10 +100,25 @@ def stream_filter(samples: DataFrame, rule: str, pre: int = 0, post: int = 0) ->
     return stateful(samples, step, "idx long, value double")
 
 
-def chunk_statistics(samples: DataFrame, seconds: str, delay: str = "10 seconds") -> DataFrame:
-    """Count, mean and deviation of tumbling windows of event time (ts) behind a watermark."""
+def late_rows(samples: DataFrame) -> DataFrame:
+    """idx, value of the rows that the operators here leave out: at or below the last idx seen in an earlier micro-batch, or again in the same one."""
+    kind = dict(samples.dtypes)["stream_id"]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else -1
+        rows = pd.concat(list(frames)).sort_values("idx", kind="stable")
+        out = rows[(rows["idx"] <= last) | rows.duplicated("idx")]
+        state.update((max(last, int(rows["idx"].max())),))
+        if len(out):
+            yield out[["stream_id", "idx", "value"]]
+
+    return samples.select("stream_id", "idx", "value").groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, idx long, value double", "last long", "append", "NoTimeout")
+
+
+def chunk_statistics(samples: DataFrame, seconds: str, delay: str = "10 seconds", slide: str | None = None) -> DataFrame:
+    """Count, mean and deviation of windows of event time (ts) behind a watermark: tumbling, or a new one every slide."""
     late = samples.withWatermark("ts", delay)
-    return late.groupBy("stream_id", F.window("ts", seconds)).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("rms")).select("stream_id", F.col("window.start").alias("start"), "n", "mean", "rms")
+    return late.groupBy("stream_id", F.window("ts", seconds, slide)).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("rms")).select("stream_id", F.col("window.start").alias("start"), "n", "mean", "rms")
 
 
 def dropped(samples: DataFrame) -> DataFrame:
