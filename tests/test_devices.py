@@ -63,6 +63,19 @@ def test_chunks_spread_anew_keep_their_ends(spark):
     assert values(timing.adaptively_resampled(frame(spark, x), 0.0, 100.0)).tolist() == x.tolist()
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_chunks_spread_anew_equal_sql_to_the_last_digit(spark, sf):
+    import duckdb
+
+    from sampleweave.plans import registry
+
+    made = {(r.stream_id, r.idx): r.value for r in registry.QUERIES["drift_adaptive"](spark, f"/root/testdata/{sf}").collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('/root/testdata/{sf}/events.parquet')")
+        want = {(s, i): v for s, i, v in con.execute(registry.ORACLES["drift_adaptive"]).fetchall()}
+    assert made == want
+
+
 @pytest.mark.parametrize("method", ["Linear", "Cubic"])
 def test_splices(spark, method):
     x = np.arange(64.0)
