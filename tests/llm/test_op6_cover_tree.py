@@ -1,6 +1,7 @@
 """Dual-tree search against brute force: ties, repeats, few rows, odd vectors, blocks, pruning, and the query."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -70,6 +71,36 @@ def test_odd_vectors(spark):
     assert ct.top_k(frame.limit(0), frame).count() == 0 and ct.top_k(frame, frame.limit(0)).count() == 0
 
 
+def test_cost_is_near_that_of_matrix_products():
+    draw = np.random.default_rng(6)
+    points = draw.normal(size=(20_000, 64))
+    points = np.floor(256 * points / np.linalg.norm(points, axis=1, keepdims=True))
+    queries = points[::10].copy()
+    began = time.perf_counter()
+    scores = queries @ points.T
+    product = time.perf_counter() - began
+    scores[np.arange(2000), np.arange(2000) * 10] = -np.inf
+    least = np.sort(scores[:, :4000], axis=1)[:, -5]
+    best = ct.Best(np.arange(2000) * 10, 5, least)
+    began = time.perf_counter()
+    ct.search(queries, ct.cover_tree(queries), points, [[i] for i in range(20_000)], best)
+    assert time.perf_counter() - began < 20 * product + 2  # pairs offered one by one had not ended after 90 s
+    want = np.lexsort((np.broadcast_to(np.arange(20_000), scores.shape), -scores), axis=1)[:, :5]
+    assert best.found.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("shard, sample", [(8192, 4096), (50, 3)])
+def test_large_scores_and_many_ties(spark, monkeypatch, shard, sample):
+    monkeypatch.setattr(ct, "SHARD", shard)
+    monkeypatch.setattr(ct, "SAMPLE", sample)
+    large = [(i, [400 * x for x in v]) for i, v in rows_of(300, 7)]  # products beyond single precision
+    sparse = [(i, [float((i * 7 + j) % 31 == 0) * (i % 5 - 1) for j in range(12)]) for i in range(600)]  # most pairs score 0
+    for rows in (large, sparse, [(i // 3, v) for i, v in sparse]):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+        got = sorted(tuple(r) for r in ct.top_k(frame, frame.filter("vec_id % 9 = 0")).collect())
+        assert got == brute(rows, [r for r in rows if r[0] % 9 == 0])
+
+
 def test_query(spark):
     from sampleweave.llm.queries import op6_cover_tree
 
