@@ -5,11 +5,12 @@ collected, indexed by a cover tree and broadcast, a pass over the table answers
 next block is fetched, so the driver holds one block at any time. A task builds a
 cover tree over each SHARD rows that it reads and walks both trees together: a pair of nodes whose greatest possible
 inner product, from the centres and the covering radii, is below the worst kth score of the node's queries is pruned.
-Pairs of leaves that are left are
-matrix products, in single precision where that is exact. kth scores start from a bounded sample of rows and carry over from shard to shard. A task sends what is still in its
+Pairs of leaves that are left are matrix products, in single precision where that is exact. kth scores start from a
+bounded sample of rows and carry over from shard to shard. A task sends what is still in its
 lists, at most k rows for a query; a window per query, limited before its shuffle, merges them.
 
-A node keeps at most FAN children; rows go to the nearest, in reach or not, and radii are measured, so the bounds hold. Rows of equal vectors stand as one point with its smallest k + 1 ids, which is all that can count.
+A node keeps at most FAN children; rows go to the nearest, in reach or not, and radii are measured, so the bounds hold.
+Rows of equal vectors stand as one point with its smallest k + 1 ids, which is all that can count.
 
 Cases: a null vec_id, and a vector that is null or holds null or non-finite components, takes no part; an empty vector
 scores 0 with all; shorter vectors are filled with zeros; rows that share a vec_id count as one with its best score,
