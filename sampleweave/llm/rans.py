@@ -248,9 +248,10 @@ def tokenised(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
         text, packed = tokens.library_words(vocabulary_path), zstandard.ZstdCompressor(level=1)
         end = tokens.id_bytes([end_id])
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = [np.frombuffer(text.ids(x) + end, "<u4") for x in batch.column(1).to_pylist()]
+            texts = whole.column(1).to_pylist()
+            for at, stop in tokens.runs_of(texts):
+                batch = whole.slice(at, stop - at)
+                ids = [np.frombuffer(x + end, "<u4") for x in text.many(texts[at:stop])]
                 small = [packed.compress(x.astype("<u2" if wide == 2 else "<u4").tobytes()) for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())], ["doc_id", "n_tokens", "ids"])
 

@@ -4,6 +4,9 @@ A text is cut at places where no merge can cross (white space), each chunk's ids
 that the cache does not hold are encoded. Results never depend on what a cache holds; a full cache is emptied.
 
 Ids are bytes throughout: little-endian unsigned 32-bit integers, so a document's ids are one ``bytes.join``.
+
+Many texts at a time (``many``) are cut by byte classes into pieces that no pre-token crosses; Arrow numbers the
+different pieces of a run of texts, so that only these are looked up, and gathers the ids of all pieces from them.
 """
 
 from __future__ import annotations
@@ -15,8 +18,11 @@ import os
 import re
 import unicodedata
 from array import array
+from collections import ChainMap
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 import regex
 
 #: Most entries of a generation of a cache.
@@ -25,6 +31,35 @@ CACHE = 450_000
 NEWER = re.compile("[\u1c89\u1c8a\ua7cb-\ua7f1\U00010d40-\U00010d8f\U00010ec0-\U00010eff\U00016ea0-\U00016eff]")
 #: Controls that str.split takes for white space and tokenizers do not.
 CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Characters of a run of texts that are cut together, about.
+RUN = 1 << 22
+#: Longer pieces, in bytes, are not kept.
+LONG = 256
+#: Classes of bytes: anything else, letter, digit, mark, apostrophe, space, other white space.
+OTHER, LETTER, DIGIT, MARK, APOSTROPHE, SPACE, WHITE = range(7)
+
+
+def byte_class(b: int) -> int:
+    if b == 0x20 or 9 <= b <= 13:
+        return SPACE if b == 0x20 else WHITE
+    if 0x20 < b < 0x7F:
+        return LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else APOSTROPHE if b == 0x27 else MARK
+    return OTHER
+
+
+def cut_between(a: int, b: int) -> bool:
+    """Whether a pre-token always ends between characters of classes a and b: where white space begins, behind white space that no word takes along, and between letters, digits and marks (an apostrophe may belong to the letters behind it)."""
+    if (a >= SPACE) != (b >= SPACE):
+        return a != SPACE
+    if OTHER in (a, b) or a >= SPACE:
+        return False
+    return min(a, MARK) != min(b, MARK) and (a, b) != (APOSTROPHE, LETTER)
+
+
+CLASS = bytes(map(byte_class, range(256)))
+#: For two neighbours' classes as 8 a + b: whether a piece begins with the second, and with the first (the last of a run of white space).
+SECOND = bytes(cut_between(*divmod(x, 8)) for x in range(64)) + bytes(192)
+FIRST = bytes(x // 8 in (SPACE, WHITE) and x % 8 < SPACE for x in range(64)) + bytes(192)
 
 
 def tokenizer(path: str):
@@ -56,6 +91,50 @@ def by_library(found) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+def pieces_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The pieces of UTF-8 texts, and the places in them where each text begins and ends (between two texts lies a piece of no text)."""
+    data = b"\n" + b"\n".join(texts) + b"\n"
+    byte, kind = np.frombuffer(data, np.uint8), np.frombuffer(bytearray(data.translate(CLASS)), np.uint8)
+    at = np.flatnonzero(byte == 0xC3)  # U+00C0 to U+00FF: letters but for the signs of multiplication and division
+    at = at[(byte[at + 1] != 0x97) & (byte[at + 1] != 0xB7)]
+    kind[at] = kind[at + 1] = LETTER
+    pair = ((kind[:-1] << 3) | kind[1:]).tobytes()
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = np.frombuffer(pair.translate(SECOND), bool)
+    cut[:-2] |= np.frombuffer(pair.translate(FIRST), bool)
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    starts = np.concatenate([[1], ends[:-1] + 1])
+    cut[starts] = cut[ends] = cut[0] = cut[-1] = True
+    cuts = np.flatnonzero(cut)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+    return pieces, np.searchsorted(cuts, starts), np.searchsorted(cuts, ends)
+
+
+def runs_of(texts: list[str | None]) -> list[tuple[int, int]]:
+    """Where runs of about RUN characters begin and end in a list of texts."""
+    cuts, held = [0], 0
+    for i, text in enumerate(texts):
+        if held >= RUN:
+            cuts.append(i)
+            held = 0
+        held += len(text or "")
+    return list(zip(cuts, [*cuts[1:], len(texts)], strict=True))
+
+
+def encoded(texts: list[str], cache: Cache) -> list[bytes]:
+    """The ids of texts by the pieces of all of them; cache holds pieces as UTF-8."""
+    if not texts:
+        return []
+    pieces, firsts, lasts = pieces_of(list(map(str.encode, texts)))
+    numbered = pieces.dictionary_encode()
+    known = cache.found(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+    whole = pa.array(known, pa.large_binary()).take(numbered.indices)
+    _, offsets, data = whole.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(whole) + 1, 8 * whole.offset)
+    data = memoryview(data or b"")
+    return [bytes(data[a:b]) for a, b in zip(offsets[firsts].tolist(), offsets[lasts].tolist(), strict=True)]
+
+
 def id_bytes(ids) -> bytes:
     return array("I", ids).tobytes()
 
@@ -88,6 +167,18 @@ class Cache:
                 found[i] = held[pieces[i]]
         return b"".join(found)
 
+    def found(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of some different pieces."""
+        found = list(map(self.held.get, pieces))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        long = [i for i in holes if len(pieces[i]) > LONG]
+        if len(long) < len(holes):
+            self.learn({pieces[i] for i in holes if len(pieces[i]) <= LONG})
+        known = ChainMap(self.held, self.encode([pieces[i] for i in long])) if long else self.held
+        for i in holes:
+            found[i] = known[pieces[i]]
+        return found
+
     def of(self, piece: str) -> bytes | None:
         found = self.held.get(piece)
         return self.older.get(piece) if found is None else found
@@ -124,6 +215,19 @@ def looked_up(cache: Cache, chunks: list[str], split: Callable[[str], list[str]]
     return made
 
 
+def split_pieces(pieces: list[bytes], find: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], word: Callable[[str], str] = str) -> dict[bytes, bytes]:
+    """The ids of pieces in UTF-8, each split into words by itself; word makes one of letters behind at most one space."""
+    words, ends = [], [0]
+    for x in map(bytes.decode, pieces):
+        if x.isalpha() or x[0] == " " and x[1:].isalpha():
+            words.append(word(x))
+        else:
+            words += find(x)
+        ends.append(len(words))
+    ids = encode(words)
+    return {x: ids[a] if b == a + 1 else b"".join(ids[a:b]) for x, a, b in zip(pieces, ends, ends[1:])}
+
+
 def newer(text: str) -> bool:
     """Whether a text holds a character of NEWER."""
     if text.isascii():
@@ -151,6 +255,7 @@ class WordText:
         self.find = regex.compile(pattern).findall
         self.encode = encode_words
         self.chunks = Cache(self._chunks)
+        self.pieces = Cache(lambda pieces: split_pieces(pieces, self.find, self.encode, str.lstrip))
 
     def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
         return looked_up(self.chunks, chunks, lambda x: [x[:-1], x[-1]] if x[-1] in ".,;:" and x[:-1].isalpha() else self.find(x), self.encode)
@@ -176,6 +281,19 @@ class WordText:
         return b"".join(self.special.get(x) or self._plain(x) for x in self.cut.split(text) if x)
 
 
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as ``ids`` gives them with the library's words, one run of texts."""
+        found, plain = [b""] * len(texts), {}
+        for i, text in enumerate(texts):
+            if text and ("<|" in text or newer(text)):
+                found[i] = self.ids(text)
+            elif text:
+                plain[i] = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+        for i, ids in zip(plain, encoded(list(plain.values()), self.pieces), strict=True):
+            found[i] = ids
+        return found
+
+
 class NotAlone(Exception):
     """A piece between two spaces that is empty or begins or ends with white space: where the cut lies depends on its neighbours."""
 

@@ -71,6 +71,29 @@ def test_skewed_and_empty_tables():
     assert rans.Table.of_counts(np.zeros(3, np.int64)).freq.sum() == 0
 
 
+ODD = st.lists(st.sampled_from([" ", "  ", "\n", "\r\n ", "\t", "a", "É", "é", "ß", "word", "The", "12", "7x", "'", "'s", "'Ll", ".", ",", "--", "$$", "×", "÷", "“", "…", "\xa0", "\x85", "\u3000", "\x1c", "\x00", "e\u0301", "漢字", "Σ", "İ", "😀", "ª", "½", "\ua7cb", "<|", "<|endoftext|>"]), max_size=14).map("".join)
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.one_of(st.none(), ODD), max_size=6))
+def test_many_texts(texts):
+    words = tokens.library_words(P.path("word_bpe_49k.json"))
+    want = [tokens.id_bytes(words.tokenizer.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    assert words.many(texts) == want
+
+
+def test_a_piece_is_looked_up_once_a_run():
+    words = tokens.WordText(P.path("word_bpe_49k.json"))
+    asked, found = [], words.pieces.found
+    words.pieces.found = lambda pieces: asked.extend(pieces) or found(pieces)
+    texts = [" ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}{end}" for j in range(300)) for end in ("", ",", "!!", " -", "?") * 10]
+    assert words.many(texts) == [words.ids(x) for x in texts]
+    assert len(asked) < 320  # of 15,000 words, many of them with marks
+    assert len(words.pieces.held) < 320
+    long = "x" * 5000
+    assert words.many([long]) == [words.ids(long)] and long.encode() not in words.pieces.held
+
+
 def test_query(spark, tmp_path):
     from sampleweave.llm.queries import op5_rans
 
