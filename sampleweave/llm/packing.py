@@ -101,9 +101,10 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAP
         text, packed, end = tokens.byte_text(vocabulary_path), zstandard.ZstdCompressor(level=1), tokens.id_bytes([end_id])
         for whole in batches:
             seen: dict[int | None, int] = {}  # rows of a doc_id so far in this batch
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = [text.ids(x) + end for x in batch.column(1).to_pylist()]
+            texts = whole.column(1).to_pylist()
+            for at, stop in tokens.runs_of(texts):
+                batch = whole.slice(at, stop - at)
+                ids = [x + end for x in text.many(texts[at:stop])]
                 if narrow:
                     ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 again = []

@@ -31,6 +31,8 @@ CACHE = 450_000
 NEWER = re.compile("[\u1c89\u1c8a\ua7cb-\ua7f1\U00010d40-\U00010d8f\U00010ec0-\U00010eff\U00016ea0-\U00016eff]")
 #: Controls that str.split takes for white space and tokenizers do not.
 CONTROLS = "\x1c\x1d\x1e\x1f"
+#: White space outside ASCII.
+SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters of a run of texts that are cut together, about.
 RUN = 1 << 22
 #: Longer pieces, in bytes, are not kept.
@@ -316,6 +318,7 @@ class ByteText:
         self.encode = by_library(self.tokenizer)
         self.words = Cache(lambda words: dict(zip(words, self.encode(words), strict=True)), CACHE // 8)
         self.later = Cache(self._later, CACHE * 3 // 4)
+        self.pieces = Cache(lambda pieces: split_pieces(pieces, self.find, self.encode))
 
     def _later(self, chunks: list[str]) -> dict[str, bytes]:
         """Chunks that follow a space; their first words are kept without it, the others by themselves in words."""
@@ -359,6 +362,18 @@ class ByteText:
             return self._plain(text)
         return b"".join(self.special.get(x) or self._plain(x) for x in self.cut.split(text) if x)
 
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as ``ids`` gives them, one run of texts."""
+        found, plain = [b""] * len(texts), {}
+        for i, text in enumerate(texts):
+            if text and ("<|" in text or any(c in text for c in CONTROLS) or not text.isascii() and any(c in text for c in SPACES)):
+                found[i] = self.ids(text)
+            elif text:
+                plain[i] = text
+        for i, ids in zip(plain, encoded(list(plain.values()), self.pieces), strict=True):
+            found[i] = ids
+        return found
+
 
 @functools.cache
 def library_words(path: str) -> WordText:

@@ -41,6 +41,26 @@ def test_all_ids_once(lengths):
     assert sum(sum(n for *_, n in s) < 64 for s in sequences) <= 1
 
 
+ODD = st.lists(st.sampled_from([" ", "  ", "\n", "\r\n ", "\t", "a", "É", "é", "ß", "word", "The", "12", "7x", "'", "'s", "'Ll", ".", ",", "--", "$$", "×", "÷", "“", "…", "\xa0", "\x85", "\u3000", "\x1c", "\x00", "e\u0301", "漢字", "Σ", "İ", "😀", "ª", "½", "<|", "<|endoftext|>"]), max_size=14).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), ODD), max_size=6))
+def test_many_texts(texts):
+    found = tokens.byte_text(P.path("byte_bpe_50k.json"))
+    want = [tokens.id_bytes(found.tokenizer.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    assert found.many(texts) == want
+
+
+def test_a_piece_is_looked_up_once_a_run():
+    found = tokens.ByteText(P.path("byte_bpe_50k.json"))
+    asked, look = [], found.pieces.found
+    found.pieces.found = lambda pieces: asked.extend(pieces) or look(pieces)
+    texts = [" ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}{end}" for j in range(300)) for end in ("", ",", "!!", " -", "?") * 10]
+    assert found.many(texts) == [found.ids(x) for x in texts]
+    assert len(asked) < 320  # of 15,000 words, many of them with marks
+
+
 def test_query(spark, tmp_path):
     from sampleweave.llm.queries import op8_packing
 
