@@ -59,6 +59,15 @@ def test_merged_datasets_of_unequal_lengths(spark, tmp_path):
     assert {k: v[2] for k, v in got.items()} == {k: v[2] for k, v in want.items()} | {0: 40, 1: 39}
 
 
+def test_delivered_datasets_with_nulls(spark, tmp_path):
+    """Streams with some values missing on either side of the mean, and one with none."""
+    path, found = f"{tmp_path}/events.parquet", duckdb.connect()
+    found.execute(f"""COPY (SELECT u * 100 + k AS event_id, TIMESTAMP '2024-01-01' + to_seconds(k) AS ts, u AS user_id, 'view' AS event_type, CASE WHEN k % 3 <> 1 AND u <> 4 THEN u * 20.0 + k END::DOUBLE AS value
+        FROM range(6) t(u), range(5 + u) r(k)) TO '{path}' (FORMAT parquet)""")
+    found.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    assert [tuple(r) for r in entry.queries()["delivered_datasets"](spark, str(tmp_path)).collect()] == found.execute(entry.oracle_sql()["delivered_datasets"]).fetchall()
+
+
 def test_strict_merge_of_axes_that_differ_is_an_error(spark):
     sets = spark.createDataFrame([(0, "a", [0.0, 1.0], [5.0, 6.0]), (0, "b", [0.0], [7.0])], "group long, name string, axis array<double>, values array<double>")
     assert align.merge_datasets(sets, strict=False).first()["axis"] == [0.0, 1.0]
