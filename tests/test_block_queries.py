@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sampleweave.operators import align, monitor
+from sampleweave.operators import align, monitor, recursive
 from sampleweave.operators.frequency import from_neighbours
 from sampleweave.plans import block_queries, registry
 from sampleweave.plans.graph import Graph
+from sampleweave.plans.sources_of_queries import signal
 from sampleweave.sources import generators
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +69,21 @@ def test_delivered_datasets_with_nulls(spark, tmp_path):
     assert [tuple(r) for r in entry.queries()["delivered_datasets"](spark, str(tmp_path)).collect()] == found.execute(entry.oracle_sql()["delivered_datasets"]).fetchall()
 
 
+def test_regression_edges_equal_sql_to_the_last_digit(spark, tmp_path):
+    """An offset on a tie of its fifth place, a gap in the samples of a line, a line of one sample, a level line."""
+    streams = [[52.16, 22.43, 0.03, 44.05, 28.36, 98.9, 90.1, 15.67, 70.27, 118.27], [30.0, 60.5, None, 80.25, 100.0], [30.0, None, 100.0], [30.0, 96.0, 66.0, 48.0, 102.0]]
+    path, found = f"{tmp_path}/events.parquet", duckdb.connect()
+    found.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    found.executemany("INSERT INTO events VALUES (?, TIMESTAMP '2024-01-01', ?, 'view', ?)", [(u * 100 + k, u, x) for u, values in enumerate(streams) for k, x in enumerate(values)])
+    found.execute(f"COPY events TO '{path}' (FORMAT parquet)")
+    columns = ("stream_id", "idx", "edge", "trigger_offset")
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in entry.queries()["schmitt_regression"](spark, str(tmp_path)).collect())
+    assert got == sorted(tuple(map(plain, r)) for r in found.execute(entry.oracle_sql()["schmitt_regression"]).fetchall())
+    assert len(got) >= 4 and (2, 2, "RISING", None) in got and (3, 4, "RISING", -math.inf) in got
+    made = recursive.schmitt_regression(signal(spark, str(tmp_path)), 70.0, 30.0).filter("stream_id > 1").collect()
+    assert {r["stream_id"]: r["trigger_time"] for r in made} == {2: None, 3: None}
+
+
 def test_strict_merge_of_axes_that_differ_is_an_error(spark):
     sets = spark.createDataFrame([(0, "a", [0.0, 1.0], [5.0, 6.0]), (0, "b", [0.0], [7.0])], "group long, name string, axis array<double>, values array<double>")
     assert align.merge_datasets(sets, strict=False).first()["axis"] == [0.0, 1.0]
